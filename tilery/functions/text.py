@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -18,10 +20,23 @@ def _strings(values: pa.Array) -> pa.Array:
     return values.cast(pa.large_string())
 
 
+def folded(values: pa.Array) -> pa.Array:
+    """NFKC and lower case. ASCII, nearly all of most columns, stays in Arrow; Arrow's own normaliser leaves
+    composable characters apart, so each distinct other text goes through unicodedata."""
+    values = _strings(values)
+    ascii_only = pc.fill_null(pc.string_is_ascii(values), True)
+    lower = pc.ascii_lower(values)
+    if pc.all(ascii_only).as_py() is not False:
+        return lower
+    coded = values.filter(pc.invert(ascii_only)).dictionary_encode()
+    other = [unicodedata.normalize("NFKC", x).lower() for x in coded.dictionary.to_pylist()]
+    return pc.replace_with_mask(lower, pc.invert(ascii_only), pa.array(other, pa.large_string()).take(coded.indices))
+
+
 def normalise(values: pa.Array, matcher: bool = False) -> pa.Array:
     """NFKC, lower case, without a leading matcher if asked, one blank for each run of other characters,
     no outer blanks. Nulls stay null."""
-    out = pc.utf8_lower(pc.utf8_normalize(_strings(values), form="NFKC"))
+    out = folded(values)
     if matcher:
         out = pc.replace_substring_regex(out, pattern=LEADING_MATCHER, replacement="")
     return pc.utf8_trim(pc.replace_substring_regex(out, pattern=NOT_WORD, replacement=" "), characters=" ")

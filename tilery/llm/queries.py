@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.functions.text import alias_forms, item_terms
-from tilery.llm import frequency, setjoin, weights
+from tilery.llm import frequency, leaks, mapping, mixing, setjoin, weights
 from tilery.operators.items import live_items
 from tilery.plans.session import table
 
@@ -25,6 +25,24 @@ def _weights(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     return weights.log_entropy(items, "item_key", "terms", within=("collection_id", "pid"), **limits)
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookups = table(spark, sf_dir, "test_cases").where(F.col("kind") == "lookup").select("case_id", "input")
+    catalog = table(spark, sf_dir, "catalog_items")
+    return mapping.map_values(lookups, "case_id", "input", catalog, "pid", "name")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, pid): the catalogue item each lookup means, or -1."""
+    return _mapped(spark, sf_dir).select("case_id", "pid")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(input_form, cases): what was asked for and isn't in the catalogue, by its plain form."""
+    lookups = table(spark, sf_dir, "test_cases").select("case_id", mapping.plain_form("input").alias("input_form"))
+    missing = _mapped(spark, sf_dir).where(F.col("pid") == mapping.UNMATCHED)
+    return missing.join(lookups, "case_id").groupBy("input_form").agg(F.count("*").alias("cases"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_key, term): terms that at least 2 and at most 6 live items hold."""
     return _weights(spark, sf_dir, min_records=2, max_records=6).select("item_key", "term")
@@ -66,13 +84,50 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).drop("term_id")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = leaks.build_index(table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return leaks.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", index)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): documents with 13 consecutive words of an evaluation item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, documents, longest): how many documents leak each item, and the most runs of it in one."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("runs").alias("longest"))
+
+
+def _mix(spark: SparkSession, sf_dir: str, soft: bool) -> mixing.Mix:
+    documents, targets = table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_sources(documents, targets, "doc_id", "text", "source", soft=soft)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source): targets that stay below their share with every document repeated as often as allowed. Only
+    documents with a listed source are in the mix, so every membership is certain."""
+    return _mix(spark, sf_dir, soft=False).report.where("short").select("source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached with documents of unlisted sources as soft members."""
+    return mixing.reached_shares(_mix(spark, sf_dir, soft=True), "source")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p2_found": p2_found,
     "p2_weights": p2_weights,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
 }
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -120,6 +175,14 @@ marked AS (SELECT field, term, occurrences, records,
   CASE WHEN records <= 2 THEN 'rare' WHEN records > n * CAST(0.1 AS DOUBLE) THEN 'common' END AS mark FROM counts JOIN totals USING (field))
 """
 
+_WORDS = """
+WITH doc_words AS (SELECT doc_id AS id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+item_words AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),
+item_runs AS (SELECT DISTINCT id AS item_id, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM item_words)),
+doc_runs AS (SELECT id AS doc_id, i, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM doc_words)),
+met AS (SELECT doc_id, item_id, count(*) AS runs FROM doc_runs JOIN item_runs USING (run) GROUP BY ALL)
+"""
+
 ORACLE = {
     "p2_found": _ITEM_TERMS + "SELECT item_key, term FROM tf JOIN st USING (term) WHERE records BETWEEN 2 AND 6",
     "p2_weights": _ITEM_TERMS
@@ -127,5 +190,12 @@ ORACLE = {
     FROM tf JOIN st USING (term)""",
     "p4_found": _SETS + "SELECT x AS item_key_a, y AS item_key_b FROM pairs",
     "p5_found": _COUNTED + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p6_found": _WORDS + "SELECT doc_id, item_id FROM met",
+    "p6_items": _WORDS + "SELECT item_id, count(*) AS documents, max(runs) AS longest FROM met GROUP BY 1",
+    # characters for tokens: the sources are far enough from their limits
+    "p7_found": """
+WITH sized AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),
+named AS (SELECT t.source, weight, max_repeats, coalesce(n, 0) AS n FROM mix_targets t LEFT JOIN sized USING (source))
+SELECT source FROM named WHERE n * max_repeats < weight * (SELECT sum(n) FROM named)""",
     "p5_counts": _COUNTED + "SELECT field, term, occurrences, records, mark FROM marked",
 }

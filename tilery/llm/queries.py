@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.functions.text import alias_forms, item_terms
-from tilery.llm import frequency, leaks, mapping, mixing, setjoin, weights
+from tilery.llm import frequency, leaks, mapping, mixing, personal, setjoin, weights
 from tilery.operators.items import live_items
 from tilery.plans.session import table
 
@@ -115,6 +115,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(_mix(spark, sf_dir, soft=True), "source")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind, found_text): distinct stretches of personal information of every document."""
+    found = personal.find_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "kind", "found_text").distinct()
+
+
+def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every document with placeholders for personal information."""
+    return personal.replace_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
@@ -128,6 +139,8 @@ QUERIES = {
     "p6_items": p6_items,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_replaced": p8_replaced,
 }
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))

@@ -125,7 +125,7 @@ def item_dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH parts AS (SELECT p_partkey, lower(p_type) AS t, string_split(p_name, ' ') AS w FROM part),
     texts AS (SELECT p_partkey, unnest([t || ' ', '']) AS a, unnest([0, 1]) AS i, w FROM parts),
     halves AS (SELECT p_partkey, i * 2 AS k, trim(a || w[1] || ' x') AS text FROM texts UNION ALL SELECT p_partkey, i * 2 + 1, trim(a || w[2] || ' x') FROM texts)
-    SELECT p_partkey, CAST(k AS INTEGER) AS expand_ord, text FROM both"""
+    SELECT p_partkey, CAST(k AS INTEGER) AS expand_ord, text FROM halves"""
 )
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, expand_ord, text): `[type] (word1,word2) x` of every part, expanded."""

@@ -8,7 +8,9 @@ probes those of its own: the shorter lists are merged on a heap that skips ahead
 searched by bisection, and whatever reaches the required overlap is compared exactly.
 
 A token with more than BLOCK classes is split into parts, and each pair of parts is a block of its own, so
-no task ever holds more than two parts. Nothing is capped: all pairs of parts are joined.
+no task ever holds more than about two parts. Nothing is capped: all pairs of parts are joined. How many parts a
+hot token has is broadcast (there are at most HOT_SHARE of them); for all others it comes by a shuffle, whose
+keys hold no more than a HOT_SHAREth of the rows.
 
 Defined cases: null lists, null and empty elements, and repeats don't count; sets of fewer than `least`
 elements take no part; equal sets are similar; an empty table gives no pairs; columns other than the key and
@@ -101,75 +103,71 @@ def similar_in_block(token: int, sets: list[list[int]], parts: list[int], two: b
 
 
 def set_classes(records: DataFrame, key: str, elements: str, least: int = 1) -> DataFrame:
-    """(key, class_id, tokens): the set of each record as sorted 64-bit tokens, and a 128-bit id of the set.
+    """(key, class_id, tokens), by these names: the set of each record as sorted 64-bit tokens, and a 128-bit id of the set.
 
     Two different elements with one token would have to meet within one pair of records to matter."""
     filled = F.filter(F.col(elements), lambda x: x.isNotNull() & (x != ""))
     tokens = F.array_sort(F.array_distinct(F.transform(filled, lambda x: F.xxhash64(x))))
     return (
         records.where(F.col(key).isNotNull())
-        .select(F.col(key), tokens.alias("tokens"))
+        .select(F.col(key).alias("key"), tokens.alias("tokens"))
         .where(F.size("tokens") >= least)
         .withColumn("class_id", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))))
     )
 
 
-def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK) -> DataFrame:
+def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot_share: int = HOT_SHARE) -> DataFrame:
     """(class_a, class_b, overlap, union_size) of all pairs of different classes (class_id, tokens) with a Jaccard
     similarity of at least `share`."""
     spark = classes.sparkSession
     every = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     total = every.agg(F.sum("n")).first()[0] or 0
-    # at most HOT_SHARE rows by the bound, whatever the table's size
-    limit = max(total // HOT_SHARE, 50)
+    limit = max(total // hot_share, 50)
+    # at most hot_share rows by the bound, whatever the table's size
     hot = sorted((n, token) for token, n in every.where(F.col("n") > limit).collect())
     place = spark.sparkContext.broadcast({token: at for at, (_, token) in enumerate(hot)})
     num, den = share.numerator, share.denominator
 
-    def prefixes(tokens: pa.Array) -> Iterator[tuple[int, list[int], int]]:
-        ranks = place.value
-        for row, own in enumerate(tokens.to_pylist()):
-            own.sort(key=lambda x: (ranks.get(x, -1), x))
-            yield row, own, len(own) + (-num * len(own)) // den + 1
-
-    def hot_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = place.value
-        for batch in batches:
-            met = [x for _, own, size in prefixes(batch.column("tokens")) for x in own[:size] if x in ranks]
-            if met:
-                token, n = np.unique(np.array(met, dtype=np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
-
-    in_prefix = classes.select("tokens").mapInArrow(hot_prefixes, "token bigint, n bigint")
-    wide = {t: -(-n // block) for t, n in in_prefix.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > block).collect()} if hot else {}
-    split = spark.sparkContext.broadcast(wide)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = place.value
         for batch in batches:
-            ids, rows = batch.column("class_id"), []
-            out_token, out_block, out_part, out_row, out_tokens = [], [], [], [], []
-            texts = ids.to_pylist()
-            for row, own, size in prefixes(batch.column("tokens")):
-                for token in own[:size]:
-                    parts = split.value.get(token, 1)
-                    part = int(texts[row][:8], 16) % parts
-                    for other in range(parts):
-                        out_token.append(token)
-                        out_block.append(min(part, other) * parts + max(part, other))
-                        out_part.append(part)
-                        out_row.append(row)
-                        out_tokens.append(own)
+            token, row, tokens = [], [], []
+            for at, own in enumerate(batch.column("tokens").to_pylist()):
+                own.sort(key=lambda x: (ranks.get(x, -1), x))
+                for first in own[: len(own) + (-num * len(own)) // den + 1]:
+                    token.append(first)
+                    row.append(at)
+                    tokens.append(own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(out_token, pa.int64()),
-                    pa.array(out_block, pa.int64()),
-                    pa.array(out_part, pa.int64()),
-                    ids.take(pa.array(out_row, pa.int64())),
-                    pa.array(out_tokens, pa.list_(pa.int64())),
+                    pa.array(token, pa.int64()),
+                    pa.array([x in ranks for x in token], pa.bool_()),
+                    batch.column("class_id").take(pa.array(row, pa.int64())),
+                    pa.array(tokens, pa.list_(pa.int64())),
                 ],
-                names=["token", "block", "part", "class_id", "tokens"],
+                names=["token", "hot", "class_id", "tokens"],
             )
 
+    sent = classes.select("class_id", "tokens").mapInArrow(send, "token bigint, hot boolean, class_id string, tokens array<bigint>")
+    sizes = sent.groupBy("token", "hot").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sizes = sizes.select("token", "hot", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    if hot:
+        sent = sent.join(F.broadcast(sizes.where("hot").select("token", F.col("parts").alias("hot_parts"))), "token", "left")
+    else:
+        sent = sent.withColumn("hot_parts", F.lit(None).cast("int"))
+    if limit > block:
+        # rows of hot tokens keep apart by their class: they find no match here
+        spread = F.when(F.col("hot"), F.xxhash64("class_id")).otherwise(F.col("token"))
+        others = sizes.where(~F.col("hot")).select(F.col("token").alias("key"), "hot", F.col("parts").alias("other_parts"))
+        sent = sent.withColumn("key", spread).join(others, ["key", "hot"], "left").drop("key")
+    else:
+        sent = sent.withColumn("other_parts", F.lit(None).cast("int"))
+    parts = F.coalesce("hot_parts", "other_parts", F.lit(1))
+    sent = sent.select("token", "class_id", "tokens", parts.alias("parts"), F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("part"))
+    sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pair = F.least("part", "other").cast("bigint") * F.col("parts") + F.greatest("part", "other")
+    sent = sent.select("token", pair.alias("block"), F.col("part").cast("bigint").alias("part"), "class_id", "tokens")
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         found: list[tuple] = []
@@ -208,9 +206,6 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK) ->
         if found:
             yield rows()
 
-    sent = classes.select("class_id", "tokens").mapInArrow(
-        send, "token bigint, block bigint, part bigint, class_id string, tokens array<bigint>"
-    )
     blocks = sent.repartition("token", "block").sortWithinPartitions("token", "block")
     return blocks.mapInArrow(merge, "class_a string, class_b string, overlap bigint, union_size bigint")
 
@@ -218,7 +213,7 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK) ->
 def _folded(records: DataFrame, key: str, elements: str, least: int) -> tuple[DataFrame, DataFrame]:
     members = durable(set_classes(records, key, elements, least))
     classes = members.groupBy("class_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("members"))
-    return members.select(key, "class_id"), classes
+    return members.select("key", "class_id"), classes
 
 
 def similar_pairs(records: DataFrame, key: str, elements: str, share: Fraction, least: int = 1) -> DataFrame:
@@ -226,8 +221,8 @@ def similar_pairs(records: DataFrame, key: str, elements: str, share: Fraction,
     a Jaccard similarity of at least `share`, pairs of equal sets included."""
     members, classes = _folded(records, key, elements, least)
     links = similar_classes(classes, share).select("class_a", "class_b")
-    a = members.select(F.col(key).alias("x"), F.col("class_id").alias("class_a"))
-    b = members.select(F.col(key).alias("y"), F.col("class_id").alias("class_b"))
+    a = members.select(F.col("key").alias("x"), F.col("class_id").alias("class_a"))
+    b = members.select(F.col("key").alias("y"), F.col("class_id").alias("class_b"))
     across = links.join(a, "class_a").join(b, "class_b").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
     several = classes.where(F.col("members") > 1).select(F.col("class_id").alias("class_a"))
     own = a.join(several, "class_a")
@@ -244,4 +239,4 @@ def similar_counts(records: DataFrame, key: str, elements: str, share: Fraction,
     outer = both.join(sizes, "class_b").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("members").alias("outer"))
     counts = classes.select("class_id", "members").join(outer, "class_id", "left")
     counts = counts.select("class_id", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("links"))
-    return members.join(counts, "class_id").select(key, "class_id", "links")
+    return members.join(counts, "class_id").select(F.col("key").alias(key), "class_id", "links")

@@ -47,8 +47,8 @@ class ItemIndex:
     an item where the impacts of their common words sum to 1 or more.
     """
 
-    def __init__(self, keys: list[int], texts: list[str], run: int = RUN, block: int = BLOCK):
-        self.run = run
+    def __init__(self, keys: list, texts: list[str], run: int = RUN, block: int = BLOCK, kind: str = "bigint"):
+        self.run, self.kind = run, kind
         words, row = words_of(pa.array(texts, pa.string()))
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
@@ -135,7 +135,7 @@ def build_index(items: DataFrame, key: str, text: str, run: int = RUN, block: in
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"{size} characters of items; at most {MAX_ITEM_CHARS} can be indexed")
     rows = items.select(key, text).where(F.col(text).isNotNull()).collect()
-    return ItemIndex([r[0] for r in rows], [r[1] for r in rows], run, block)
+    return ItemIndex([r[0] for r in rows], [r[1] for r in rows], run, block, items.schema[key].dataType.simpleString())
 
 
 def _shares(texts: pa.Array, index: ItemIndex, passage: int) -> Iterator[tuple[int, int, int]]:
@@ -199,11 +199,11 @@ def leaked(documents: DataFrame, key: str, text: str, index: ItemIndex, passage:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").take(pa.array(row)),
-                        pa.array([known.keys[i] for i in item], pa.int64()),
+                        pa.array([known.keys[i] for i in item]),
                         pa.array(runs, pa.int64()),
                     ],
                     names=["key", "item_id", "runs"],
                 )
 
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(scan, f"key {kind}, item_id bigint, runs bigint").withColumnRenamed("key", key)
+    return source.mapInArrow(scan, f"key {kind}, item_id {index.kind}, runs bigint").withColumnRenamed("key", key)

@@ -38,6 +38,8 @@ THRESHOLD, MARGIN = 0.25, 0.02
 #: A word in more than this share of the entries is shared, not distinctive.
 SHARED = 0.2
 UNMATCHED = -1
+#: Longer lists are refused.
+MAX_ENTRIES = 1_000_000
 
 
 def plain(text: str) -> str:
@@ -233,9 +235,9 @@ def map_values(
     known = known.groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
     texts = typed.select("value").distinct()
     listed = known.select("entry")
-    names = sorted(r[0] for r in listed.collect())  # the list itself, checked below
-    if len(names) > 1_000_000:
-        raise ValueError("the word check holds the list in memory: at most a million entries")
+    names = sorted(r[0] for r in listed.limit(MAX_ENTRIES + 1).collect())
+    if len(names) > MAX_ENTRIES:
+        raise ValueError(f"the word check holds the list in memory: at most {MAX_ENTRIES} entries")
     forms, shared = _entry_forms(names)
 
     @F.pandas_udf(T.IntegerType())

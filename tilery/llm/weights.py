@@ -34,12 +34,14 @@ def log_entropy(
     all other terms meet theirs in a shuffle without hot keys.
     """
     n = records.select(key).distinct().count() if not within else records.count()
+    parts = [f"__{i}" for i in range(len(within))]
+    named = [F.col(c).alias(p) for c, p in zip(within, parts)]
     tf = (
-        records.select(*within, key, F.explode(terms).alias("term"))
+        records.select(*named, F.col(key).alias("__key"), F.explode(terms).alias("term"))
         .where(F.col("term").isNotNull())
-        .groupBy(*within, key, "term")
+        .groupBy(*parts, "__key", "term")
         .agg(F.count("*").alias("tf"))
-        .select(key, "term", "tf")
+        .select("__key", "term", "tf")
     )
     stats = tf.groupBy("term").agg(
         F.count("*").alias("records"),
@@ -58,5 +60,5 @@ def log_entropy(
     entropy = F.ln("occurrences") - F.col("spread") / F.col("occurrences")
     even = F.ln(F.lit(float(max(n, 2))))
     return joined.select(
-        key, "term", "tf", "records", (F.ln(1.0 + F.col("tf")) * F.greatest(F.lit(0.0), 1 - entropy / even)).alias("weight")
+        F.col("__key").alias(key), "term", "tf", "records", (F.ln(1.0 + F.col("tf")) * F.greatest(F.lit(0.0), 1 - entropy / even)).alias("weight")
     )

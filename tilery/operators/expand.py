@@ -19,7 +19,7 @@ def expand_pattern(pattern: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
 
     def options(piece: Column) -> Column:
-        inner = F.transform(F.split(F.substr(piece, F.lit(2), F.length(piece) - 2), ","), F.trim)
+        inner = F.transform(F.split(F.substr(piece, F.lit(2), F.length(piece) - 2), ","), lambda x: F.trim(x))
         optional = piece.startswith("[")
         group = F.when(optional, F.concat(inner, F.array(F.lit("")))).otherwise(inner)
         empty = F.array().cast("array<string>")

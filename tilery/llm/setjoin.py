@@ -166,7 +166,9 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot
     sent = sent.select("token", "class_id", "tokens", parts.alias("parts"), F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("part"))
     sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pair = F.least("part", "other").cast("bigint") * F.col("parts") + F.greatest("part", "other")
-    sent = sent.select("token", pair.alias("block"), F.col("part").cast("bigint").alias("part"), "class_id", "tokens")
+    # in a block of one part all of it is compared, in one of two parts only what stands in different ones
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))
+    sent = sent.select("token", pair.alias("block"), side.cast("bigint").alias("part"), "class_id", "tokens")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -175,7 +177,7 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot
         def close() -> None:
             if len(held) > 1:
                 sets, parts = [x[4] for x in held], [x[2] for x in held]
-                for i, j, common in similar_in_block(held[0][0], sets, parts, len(set(parts)) > 1, share):
+                for i, j, common in similar_in_block(held[0][0], sets, parts, parts[0] >= 0, share):
                     a, b = sorted((held[i][3], held[j][3]))
                     found.append((a, b, common, len(sets[i]) + len(sets[j]) - common))
 

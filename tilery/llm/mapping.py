@@ -12,7 +12,7 @@ The word check wants every distinctive word of an entry in the value (as typed w
 off, or joined to or divided by blanks), and nothing else in it but shared words of the list, their synonyms,
 and fillers. So a value whose words occur in the list, but not together, maps to nothing.
 
-Defined cases: null and blank values are left out; the same value maps alike wherever it stands; ties are
+Defined cases: null and blank values are left out, others without letters and digits map to nothing; the same value maps alike wherever it stands; ties are
 not accepted; an empty list maps everything to -1; repeated entries need one key; other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ SYNONYMS = {"bicycle": ("bike", "cycle", "byke", "bikycle", "bicycel")}
 #: Cosine from which an entry is a candidate, and its lead over the next entry that passes the check too.
 THRESHOLD, MARGIN = 0.25, 0.02
 #: A word in more than this share of the entries is shared, not distinctive.
-SHARED = 0.2
+SHARED = 0.25
 UNMATCHED = -1
 #: Longer lists are refused.
 MAX_ENTRIES = 1_000_000
@@ -230,10 +230,10 @@ def map_values(
     values: DataFrame, key: str, value: str, entries: DataFrame, entry_key: str, entry_name: str, threshold: float = THRESHOLD, margin: float = MARGIN
 ) -> DataFrame:
     """(key, entry_key, cosine): the entry each value means, or UNMATCHED and null."""
-    typed = values.select(F.col(key).alias("id"), plain_form(value).alias("value")).where(F.length(F.trim(value)) > 0)
+    typed = values.where(F.col(value).rlike(r"(?U)\S")).select(F.col(key).alias("id"), plain_form(value).alias("value"))
     known = entries.select(F.col(entry_key).alias("entry_id"), plain_form(entry_name).alias("entry")).where(F.col("entry") != "")
     known = known.groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
-    texts = typed.select("value").distinct()
+    texts = typed.select("value").where(F.col("value") != "").distinct()
     listed = known.select("entry")
     names = sorted(r[0] for r in listed.limit(MAX_ENTRIES + 1).collect())
     if len(names) > MAX_ENTRIES:

@@ -19,13 +19,12 @@ not accepted; an empty list maps everything to -1; repeated entries need one key
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from itertools import product
 from math import log
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,49 +180,51 @@ def plain_form(values: pd.Series) -> pd.Series:
     return values.map(clean)
 
 
-def _grams(texts: DataFrame, text: str) -> DataFrame:
-    """(text, gram, tf) of distinct plain texts."""
+_GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("tf", T.IntegerType())]))
+
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, gram, tf = [], [], []
-            for at, x in enumerate(batch.column(0).to_pylist()):
-                for g, n in features(x).items():
-                    own.append(at)
-                    gram.append(g)
-                    tf.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(own, pa.int32())), pa.array(gram, pa.string()), pa.array(tf, pa.int32())],
-                names=[text, "gram", "tf"],
-            )
+@F.arrow_udf(_GRAMS)
+def _gram_lists(texts: pa.Array) -> pa.Array:
+    lists = [[{"gram": g, "tf": n} for g, n in features(x or "").items()] for x in texts.to_pylist()]
+    return pa.array(lists, pa.list_(pa.struct([("gram", pa.string()), ("tf", pa.int32())])))
 
-    return texts.select(text).mapInArrow(explode, f"{text} string, gram string, tf int")
+
+# else the optimiser would make the lists once more below the step that keeps each text once
+_gram_lists = _gram_lists.asNondeterministic()
+
+
+def _grams(texts: DataFrame, text: str) -> DataFrame:
+    """(text, gram, tf) of plain texts. The lists are partitioned by text before they are exploded, so sums by text
+    need no shuffle of the exploded rows."""
+    lists = texts.select(text, _gram_lists(text).alias("grams"))
+    lists = lists.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), text)
+    return lists.select(text, F.explode("grams").alias("g")).select(text, "g.*")
 
 
 def retrieve(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(value, entry, cosine) of all pairs of distinct plain texts that reach the threshold.
 
-    The posting lists of a short list are broadcast by Spark itself, whose limit checks their size; those of a
-    long one are joined by gram in a shuffle, where adaptive execution splits a gram that many values hold."""
+    The posting lists of a short list are broadcast by Spark itself, whose limit checks their size: then only the
+    gram lists of the distinct values are shuffled, not what they hit. Those of a long list are
+    joined by gram in a shuffle, where adaptive execution splits a gram that many values hold."""
     spread = _grams(entries, "entry")
     n = entries.count()
     weight = F.ln(1.0 + F.lit(float(n)) / F.col("held"))
     idf = spread.groupBy("gram").agg(F.count("*").alias("held")).select("gram", weight.alias("idf"))
     postings = spread.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norms = postings.groupBy("entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
-    lists = postings.join(norms, "entry").groupBy("gram", "idf").agg(
-        F.collect_list(F.struct("entry", (F.col("w") / F.col("entry_norm")).alias("w"))).alias("list")
-    )
-    asked = _grams(values, "value").join(lists, "gram", "left")
-    # a gram that no entry holds counts in the value's norm as if one did
+    hit = F.struct("entry", (F.col("w") / F.col("entry_norm")).alias("w"))
+    lists = postings.join(norms, "entry").groupBy("gram", "idf").agg(F.collect_list(hit).alias("list"))
+    # a null entry in every list adds up the value's own norm; a gram that no entry holds counts there as if one did
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("entry"), F.lit(0.0).alias("w")))
     own = F.col("tf") * F.coalesce("idf", F.lit(log(1.0 + max(n, 1))))
-    asked = asked.withColumn("own", own)
-    # the partial sums of a value are built where its grams were made, before anything is shuffled
-    norm = asked.groupBy("value").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("value_norm"))
-    hits = asked.where(F.col("list").isNotNull()).select("value", "own", F.explode("list").alias("hit"))
-    dots = hits.groupBy("value", F.col("hit.entry").alias("entry")).agg(F.sum(F.col("own") * F.col("hit.w")).alias("dot"))
-    scored = dots.join(norm, "value").select("value", "entry", (F.col("dot") / F.col("value_norm")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold)
+    hits = _grams(values, "value").join(lists, "gram", "left")
+    hits = hits.select("value", own.alias("own"), F.explode(F.concat(itself, F.coalesce("list", F.array().cast("array<struct<entry:string,w:double>>")))).alias("hit"))
+    share = F.col("own") * F.when(F.col("hit.entry").isNull(), F.col("own")).otherwise(F.col("hit.w"))
+    dots = hits.groupBy("value", F.col("hit.entry").alias("entry")).agg(F.sum(share).alias("dot"))
+    norm = F.sqrt(F.max(F.when(F.col("entry").isNull(), F.col("dot"))).over(Window.partitionBy("value")))
+    scored = dots.select("value", "entry", (F.col("dot") / norm).alias("cosine"))
+    return scored.where(F.col("entry").isNotNull() & (F.col("cosine") >= threshold))
 
 
 def map_values(

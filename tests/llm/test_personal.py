@@ -37,7 +37,7 @@ LEFT = [
     "part no. 484-51-561-K", "order ORD-5676-53-5229 failed", "version 9.533.163.1177", "version 1.587.320.7685", "since 2018-03-25 10:39:00",
     "range 10.240.105.0/24", "23 Street segments per tile", "Copyright (c) 2007 Northgate Tooling GmbH", "Copyright 2013 the Gearwright project",
     "Copyright (c) 2009 Velvet Pier Labs", "Tannery Harbor release, build 2024.3.6170", "Author: the buffer window team", "BrokenSignal keep in step",
-    "the ActiveShard SortedCursor pair is remote", "look at the dot", "see ticket SES-8728", "color: #d38706; margin: 301px", "0x0170 & 123456789", "", "   ",
+    "the ActiveShard SortedCursor pair is remote", "look at the dot", "(C) EVERY TAPESTRY", "see ticket SES-8728", "color: #d38706; margin: 301px", "0x0170 & 123456789", "", "   ",
 ]
 
 

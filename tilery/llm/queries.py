@@ -21,7 +21,10 @@ def _live(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
-    items = _live(spark, sf_dir, "name", "aliases").withColumn("terms", item_terms("name", "aliases"))
+    # terms are read before the rows are shuffled to their keys: a Python step behind the shuffle would make Spark
+    # forget that a record's rows are in one place
+    items = table(spark, sf_dir, "shop_items").withColumn("terms", item_terms("name", "aliases"))
+    items = live_items(items, keep=("terms",))
     return weights.log_entropy(items, "item_key", "terms", within=("collection_id", "pid"), **limits)
 
 

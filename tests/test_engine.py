@@ -237,3 +237,28 @@ def test_stream(spark, lexicon, tmp_path):
 def test_iteration_of_ties_is_stable():
     graph = [[(1.0, 1, t) for t in range(3)] for _ in range(3)]
     assert [[e[2] for e in p] for p in P.all_paths(graph)] == [list(reversed(p)) for p in itertools.product(range(3), repeat=3)]
+
+
+def test_some_path_reads():
+    graph = [[(1.0, 1, 1), (2.0, 2, 2)], [(1.0, 1, 3)], [(1.0, 1, 4)]]
+    reads = lambda *wanted: P.some_path_reads(graph, lambda e, start: f"{e[2]}@{start}", list(wanted))
+    assert reads("1@0", "3@1", "4@2") and reads("2@0", "4@2")
+    assert not reads("2@0") and not reads("1@0", "4@2") and not reads() and not reads("2@0", "4@2", "4@2")
+    assert P.some_path_reads([], lambda e, s: "", [])
+
+
+def test_lattice_matches():
+    # red, then either sedan or one edge over two places that is also a sedan
+    graph = [[(0.0, 1, 7)], [(0.0, 1, 8), (0.0, 2, 9)], [(0.0, 1, 10)]]
+    assert P.lattice_matches(graph, 0, [7, 8]) == {2: 2.0, 3: 0.5}
+    assert P.lattice_matches(graph, 0, [7, 9]) == {3: 2.0, 2: 0.5}
+    assert P.lattice_matches(graph, 1, [99]) == {}
+
+
+def test_any_path_is_accepted(spark, lexicon):
+    kinds = {"entities": "ENTITY", "quantifiers": "QUANTIFIER", "intents": "INTENT"}
+    rows = [(1, "a red sedan", ["[QUANTIFIER:1]", "[ENTITY:RED_SEDAN,20]"]), (2, "a red sedan", ["[NUMBER:1]", "[ENTITY:RED_SEDAN,20]"]),
+            (3, "a red sedan", ["[WORD:A]", "[WORD:RED]", "[WORD:SEDAN]"]), (4, "a red sedan", ["[ENTITY:RED_SEDAN,20]"]), (5, None, ["x"]), (6, "zebra", None)]
+    tests = spark.createDataFrame(rows, "id int, said string, wanted array<string>")
+    got = {r["id"]: r["passed"] for r in pipeline.accepts_local(tests, "id", "said", "wanted", lexicon, kinds).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}

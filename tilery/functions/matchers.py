@@ -193,17 +193,25 @@ def levenshtein_column(query: pd.Series, prefix: pd.Series, downstream: pd.Serie
     return pd.DataFrame(rows, columns=[f.name for f in DIFF.fields])
 
 
+def score_factors(diff: Column) -> Column:
+    """The factors of a score: struct (match_factor, common_factor, position_factor, length_factor), for tracing."""
+    length, size = diff["rightmost"] + 1, F.size(diff["match"])
+    closeness = F.when(length > diff["cost"], F.try_divide(length - diff["cost"], length)).otherwise(F.try_divide(F.lit(1.0), length + diff["cost"]))
+    return F.struct(
+        closeness.alias("match_factor"),
+        F.try_divide(F.size(diff["common"]), F.size(F.array_distinct(diff["match"]))).alias("common_factor"),
+        F.try_divide(F.greatest(size - diff["leftmost"], F.lit(0)), size).alias("position_factor"),
+        size.alias("length_factor"),
+    )
+
+
 def score_column(diff: Column, prefix: Column, downstream: Column | None = None) -> Column:
     """`score` as a Spark expression: struct (score, length); score is null where nothing matched."""
-    length = diff["rightmost"] + 1
-    size = F.size(diff["match"])
-    value = F.when(length > diff["cost"], F.try_divide(length - diff["cost"], length)).otherwise(F.try_divide(F.lit(1.0), length + diff["cost"]))
-    value = value * F.try_divide(F.size(diff["common"]), F.size(F.array_distinct(diff["match"])))
-    value = value * F.try_divide(F.greatest(size - diff["leftmost"], F.lit(0)), size) * size
+    factors = score_factors(diff)
+    value = factors["match_factor"] * factors["common_factor"] * factors["position_factor"] * factors["length_factor"]
     weak = value <= LOW
     if downstream is not None:
         below = F.forall(diff["common"], lambda t: (t >= RANGE) | F.array_contains(downstream, t))
         weak = weak | ((F.size(diff["common"]) > 0) & below & (F.size(diff["common"]) != F.size(F.array_distinct(prefix))))
-    return F.struct(
-        F.when(size > 0, F.when(weak, REJECTED).otherwise(value)).cast("double").alias("score"), length.cast("int").alias("length")
-    )
+    scored = F.when(F.size(diff["match"]) > 0, F.when(weak, REJECTED).otherwise(value))
+    return F.struct(scored.cast("double").alias("score"), (diff["rightmost"] + 1).cast("int").alias("length"))

@@ -6,7 +6,7 @@ independent, so a row holds one and is solved by itself; nothing is exchanged be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilery.functions.matchers import levenshtein, no_term, score
 from tilery.schemas import EDGE
 
 Edge = tuple[float, int, int]
@@ -75,6 +76,43 @@ def maximal_paths(edge_lists: list[list[Edge]]) -> Iterator[list[Edge]]:
     return _trace(back, n) if n and best[n] is not None else iter(())
 
 
+def some_path_reads(edge_lists: list[list[Edge]], text_of: Callable[[Edge, int], str], wanted: list[str]) -> bool:
+    """Whether the edges of some path read as the wanted texts in order; text_of takes an edge and its start.
+
+    Places are pairs of a boundary and of how much has been read, so this is linear in edges times texts."""
+    n = len(edge_lists)
+    read: list[set[int]] = [set() for _ in range(n + 1)]
+    read[0].add(0)
+    for start, edges in enumerate(edge_lists):
+        if not read[start]:
+            continue
+        for edge in edges:
+            if 0 < edge[1] <= n - start:
+                text = text_of(edge, start)
+                read[start + edge[1]].update(i + 1 for i in read[start] if i < len(wanted) and wanted[i] == text)
+    return len(wanted) in read[n]
+
+
+def lattice_matches(
+    edge_lists: list[list[Edge]], start: int, prefix: list[int], downstream: Callable = no_term, token: Callable = no_term
+) -> dict[int, float]:
+    """Best score of a prefix along the paths of a lattice from a boundary, by the boundary that the match reaches.
+
+    The terms of a path are the token ids of its edges; each path is aligned by edit distance."""
+    best: dict[int, float] = {}
+    stack: list[tuple[int, list[int], list[int]]] = [(start, [], [start])]
+    while stack:
+        at, terms, ends = stack.pop()
+        onward = [e for e in edge_lists[at] if 0 < e[1] <= len(edge_lists) - at] if at < len(edge_lists) else []
+        for edge in onward:
+            stack.append((at + edge[1], [*terms, edge[2]], [*ends, at + edge[1]]))
+        if terms and not onward:
+            value, length = score(prefix, levenshtein(terms, prefix, downstream, token), downstream)
+            if value is not None and value > 0:
+                best[ends[length]] = max(value, best.get(ends[length], value))
+    return best
+
+
 _ARROW_PATHS = pa.list_(pa.list_(pa.struct([("score", pa.float64()), ("length", pa.int32()), ("token_id", pa.int64())])))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.functions.formatting import token_text
-from tilery.functions.matchers import exact_prefix_column, levenshtein_column, score_column
+from tilery.functions.matchers import exact_prefix_column, levenshtein_column, score_column, score_factors
 from tilery.functions.numbers import digits_to_words, number_matches
 from tilery.functions.speech import speech_text
 from tilery.functions.terms import TermModel, decode, dictionary, hash_of_stem, is_number_hash, is_token_hash, number_hash, strip_plural, word_break
@@ -535,17 +535,43 @@ def utterance_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(_observed(spark, sf_dir), "input").select("case_id", "observed")
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order cases with observed tokens; expectations are read by the packed-field grammar."""
-    cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
+def _expected(cases: DataFrame) -> DataFrame:
+    """(case_id, wanted): token texts of the expected cells, read by the packed-field grammar."""
     tokens = split_packed(cases, "case_id", {"expected": BRACKETED})
     bracketed = F.concat(F.lit("["), F.regexp_replace("item_value", '"', ""), F.lit("]"))
     wanted = tokens.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", bracketed.alias("t")))).alias("x"))
-    wanted = wanted.select("case_id", F.array_join(F.transform("x", lambda e: e["t"]), " ").alias("wanted"))
+    return wanted.select("case_id", F.transform("x", lambda e: e["t"]).alias("wanted"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order cases with their observed tokens."""
+    cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
+    wanted = _expected(cases).select("case_id", F.array_join("wanted", " ").alias("wanted"))
     joined = cases.join(wanted, "case_id").drop("expected").withColumnRenamed("wanted", "expected")
     return R.evaluate(joined, _observed(spark, sf_dir), "input")
 
 
+@query()
+def utterance_relevance_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(priority, n_passed, n_run): order cases of which some path reads as expected."""
+    cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
+    tests = cases.join(_expected(cases), "case_id").withColumn("said", speech_text(_c("input")))
+    judged = pipeline.accepts_local(tests, "case_id", "said", "wanted", shop.shop_lexicon(spark, sf_dir), shop.KINDS)
+    return R.tally(judged.join(cases.select("case_id", "priority"), "case_id"), "priority")
+
+
+@query(
+    "WITH "
+    + _PAIRS.format(partial="true").split("SELECT l_orderkey, CAST(len(prefix) - k AS DOUBLE)")[0]
+    + """SELECT l_orderkey, round(CASE WHEN k > len(prefix) - k THEN (k - (len(prefix) - k)) / CAST(k AS DOUBLE) ELSE CAST(1 AS DOUBLE) / len(prefix) END, 6) AS match_factor, k AS length_factor
+    FROM kept WHERE k > 0"""
+)
+def score_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, match_factor, length_factor): factors of the prefix matcher's scores."""
+    rows = _pairs(spark, sf_dir).withColumn("f", score_factors(exact_prefix_column(_c("query"), _c("prefix"), True)))
+    return rows.where("f.length_factor > 0").select("l_orderkey", F.round("f.match_factor", 6).alias("match_factor"), "f.length_factor")
+
+
 @query()
 def utterance_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(priority, n_passed, n_run): order cases whose observed tokens are the expected ones."""

@@ -21,7 +21,7 @@ from tilery.functions.numbers import NumberGrammar
 from tilery.functions.terms import RANGE, TermModel, hash_stem, stem_term
 from tilery.operators.edges import candidates, edge_lists, match_edges, number_edges, tails, union_edges, unknown_edges
 from tilery.operators.lexicon import Lexicon, hashed
-from tilery.operators.paths import maximal_paths, maximal_paths_column, path_rows, spans
+from tilery.operators.paths import maximal_paths, maximal_paths_column, path_rows, some_path_reads, spans
 from tilery.schemas import NUMBER_BASE, UNKNOWN_ID
 
 #: Aliases that the row-local form takes; more need the relational form.
@@ -114,6 +114,38 @@ def tile_local(utterances: DataFrame, key: str, text: str, lexicon: Lexicon) ->
     return source.mapInArrow(solve, f"key {kind}, words array<string>, tokens {_SPANS}").withColumnRenamed("key", key)
 
 
+def accepts_local(tests: DataFrame, key: str, text: str, expected: str, lexicon: Lexicon, kinds: dict[str, str]) -> DataFrame:
+    """(key, passed): whether some path of each utterance's graph, not just the best, reads as the expected token texts
+    (an array). Utterances without a text or an expectation don't pass."""
+    kind = tests.schema[key].dataType.simpleString()
+    texts = token_table(lexicon, kinds).select("token_id", token_text(F.col("type"), F.col("pid"), F.col("name"), F.col("value"), F.lit(None)))
+    index = local_index(lexicon)  # checks the size of what is gathered here
+    shared = tests.sparkSession.sparkContext.broadcast(cloudpickle.dumps((index, {r[0]: r[1] for r in texts.collect()})))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = cloudpickle.loads(shared.value)
+        numbers, hashes = NumberGrammar(), {}
+        for batch in batches:
+            passed = []
+            for said, wanted in zip(batch.column("text").to_pylist(), batch.column("expected").to_pylist()):
+                words = said.split() if said else []
+                for word in words:
+                    if word not in hashes:
+                        hashes[word] = hash_stem(stem_term(word, index.model.stemmer))
+                graph = index.edges([hashes[w] for w in words], [w.lower() for w in words], numbers)
+
+                def reads(edge: tuple[float, int, int], start: int, words=words) -> str:
+                    if edge[2] == UNKNOWN_ID:
+                        return f"[WORD:{words[start].upper()}]"
+                    return known[edge[2]] if edge[2] >= 0 else f"[NUMBER:{NUMBER_BASE - edge[2]}]"
+
+                passed.append(bool(words) and wanted is not None and some_path_reads(graph, reads, wanted))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(passed, pa.bool_())], names=["key", "passed"])
+
+    source = tests.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(expected).alias("expected"))
+    return source.mapInArrow(solve, f"key {kind}, passed boolean").withColumnRenamed("key", key)
+
+
 def tile_relational(utterances: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
     """(key, words, tokens), by joins."""
     source = utterances.select(F.col(key).alias("query_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())

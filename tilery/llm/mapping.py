@@ -37,8 +37,6 @@ THRESHOLD, MARGIN = 0.25, 0.02
 #: A word in more than this share of the entries is shared, not distinctive.
 SHARED = 0.25
 UNMATCHED = -1
-#: Longer lists are refused.
-MAX_ENTRIES = 1_000_000
 
 
 def plain(text: str) -> str:
@@ -152,19 +150,17 @@ def fit(words: list[str], wanted: tuple[str, ...], shared: tuple[str, ...]) -> i
     return best
 
 
-def _entry_forms(names: list[str]) -> tuple[dict[str, tuple[str, ...]], tuple[str, ...]]:
-    """The distinctive words of each plain name, and the shared words with their synonyms."""
-    held: dict[str, int] = {}
-    for name in names:
-        for word in set(name.split()):
-            held[word] = held.get(word, 0) + 1
-    common = {w for w, n in held.items() if n > max(SHARED * len(names), 1)}
-    shared = tuple(sorted(common)) + tuple(s for w in sorted(common) for s in SYNONYMS.get(w, ()))
-    forms = {}
-    for name in names:
-        own = tuple(w for w in dict.fromkeys(name.split()) if w not in common)
-        forms[name] = own or tuple(name.split())
-    return forms, shared
+def distinctive(entry: str, common: frozenset) -> tuple[str, ...]:
+    """The words of a plain entry that only few entries share; all of them if there are none."""
+    words = tuple(dict.fromkeys(entry.split()))
+    return tuple(w for w in words if w not in common) or words
+
+
+def shared_words(entries: DataFrame, share: float = SHARED) -> frozenset:
+    """Words in more than `share` of the plain texts (entry): never more than the mean words of an entry / share."""
+    n = entries.count()
+    words = entries.select(F.explode(F.array_distinct(F.split("entry", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r[0] for r in words.where(F.col("n") > max(share * n, 1)).collect())
 
 
 @F.pandas_udf(T.StringType())
@@ -236,14 +232,12 @@ def map_values(
     known = known.groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
     texts = typed.select("value").where(F.col("value") != "").distinct()
     listed = known.select("entry")
-    names = sorted(r[0] for r in listed.limit(MAX_ENTRIES + 1).collect())
-    if len(names) > MAX_ENTRIES:
-        raise ValueError(f"the word check holds the list in memory: at most {MAX_ENTRIES} entries")
-    forms, shared = _entry_forms(names)
+    common = shared_words(listed)
+    shared = tuple(sorted(common)) + tuple(s for w in sorted(common) for s in SYNONYMS.get(w, ()))
 
     @F.pandas_udf(T.IntegerType())
     def errors(value: pd.Series, entry: pd.Series) -> pd.Series:
-        return pd.Series([fit(v.split(), forms[e], shared) for v, e in zip(value, entry)], dtype="Int32")
+        return pd.Series([fit(v.split(), distinctive(e, common), shared) for v, e in zip(value, entry)], dtype="Int32")
 
     # else the optimiser would check words below the aggregation, once for each gram in common
     errors = errors.asNondeterministic()

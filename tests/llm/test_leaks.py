@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from tilery.llm.leaks import ItemIndex, _shares, build_index, leaked
+from tilery.llm.leaks import ItemIndex, _shares, build_index, leaked, search_leaks
 
 
 def words(text):
@@ -86,3 +86,12 @@ def test_empty(spark):
     frame = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert leaked(frame, "doc_id", "text", index).count() == 0
     assert leaked(frame.limit(0), "doc_id", "text", index).count() == 0
+
+
+def test_items_in_parts(spark):
+    documents, items = make(11, n_docs=60)
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    listed = spark.createDataFrame(items, "item_id long, text string")
+    rows = search_leaks(frame, "doc_id", "text", listed, "item_id", "text", most=2000).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got == brute(documents, items) and len(got) == len(rows)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tilery.functions.text import flat
 
 RUN, PASSAGE, BLOCK = 13, 64, 16
-#: The index is built on the driver and broadcast; more characters of items than this are refused.
-MAX_ITEM_CHARS = 64_000_000
+#: An index is built on the driver and broadcast; items of more characters than this are searched in parts.
+MAX_ITEM_CHARS = 8_000_000
 _K1, _B = 1.2, 0.75
 
 
@@ -129,11 +130,15 @@ class ItemIndex:
         return found
 
 
+def _size(items: DataFrame, text: str) -> int:
+    return items.agg(F.sum(F.length(text))).first()[0] or 0
+
+
 def build_index(items: DataFrame, key: str, text: str, run: int = RUN, block: int = BLOCK) -> ItemIndex:
     """Index of a table of items that is checked to be small enough for one machine."""
-    size = items.agg(F.sum(F.length(text))).first()[0] or 0
+    size = _size(items, text)
     if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items; at most {MAX_ITEM_CHARS} can be indexed")
+        raise ValueError(f"{size} characters of items; an index takes {MAX_ITEM_CHARS}: search_leaks splits them")
     rows = items.select(key, text).where(F.col(text).isNotNull()).collect()
     return ItemIndex([r[0] for r in rows], [r[1] for r in rows], run, block, items.schema[key].dataType.simpleString())
 
@@ -207,3 +212,13 @@ def leaked(documents: DataFrame, key: str, text: str, index: ItemIndex, passage:
 
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return source.mapInArrow(scan, f"key {kind}, item_id {index.kind}, runs bigint").withColumnRenamed("key", key)
+
+
+def search_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, most: int = MAX_ITEM_CHARS) -> DataFrame:
+    """(key, item_id, runs) for items of any number: those beyond the size of one index are split by a hash of their
+    key, and the documents are read once for each part."""
+    parts = max(1, -(-_size(items, item_text) // most))
+    if parts == 1:
+        return leaked(documents, key, text, build_index(items, item_key, item_text))
+    part = F.pmod(F.xxhash64(item_key), F.lit(parts))
+    return reduce(DataFrame.unionByName, [leaked(documents, key, text, build_index(items.where(part == i), item_key, item_text)) for i in range(parts)])

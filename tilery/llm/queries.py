@@ -88,8 +88,8 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = leaks.build_index(table(spark, sf_dir, "eval_items"), "item_id", "text")
-    return leaks.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", index)
+    items = table(spark, sf_dir, "eval_items")
+    return leaks.search_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

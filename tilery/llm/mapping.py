@@ -33,7 +33,7 @@ FILLERS = ("a", "an", "the", "some", "one", "my", "for", "in", "of", "with", "pl
 #: Other words for words that many entries share.
 SYNONYMS = {"bicycle": ("bike", "cycle", "byke", "bikycle", "bicycel")}
 #: Cosine from which an entry is a candidate, and its lead over the next entry that passes the check too.
-THRESHOLD, MARGIN = 0.25, 0.02
+THRESHOLD, MARGIN = 0.2, 0.02
 #: A word in more than this share of the entries is shared, not distinctive.
 SHARED = 0.25
 UNMATCHED = -1

@@ -50,7 +50,16 @@ def test_tests_from_yaml(spark):
 
 def test_stop_words(spark, tmp_path):
     (tmp_path / "s.txt").write_text(" the \n\nwith\n")
-    assert [r[0] for r in catalog.stop_words(spark, str(tmp_path / "s.txt")).collect()] == ["the", "", "with"]
+    words = catalog.stop_words(spark, str(tmp_path / "s.txt"))
+    assert [r[0] for r in words.collect()] == ["the", "", "with"]
+    assert {(r["name"], r["aliases"][0]) for r in catalog.stop_word_items(words).collect()} == {("the", "exact:the"), ("with", "exact:with")}
+
+
+def test_items_from_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text(ITEMS)
+    (tmp_path / "b.yaml").write_text("items: [{pid: 9, name: n, aliases: []}]")
+    items = catalog.items_from_files(spark, {"cars": str(tmp_path / "a.yaml"), "b": str(tmp_path / "b.yaml")})
+    assert {(r["domain"], r["pid"]) for r in items.collect()} == {("cars", 1), ("cars", 2), ("cars", 3), ("b", 9)}
 
 
 PATTERNS = {

@@ -95,3 +95,11 @@ def tests_to_yaml(cases: list[dict]) -> str:
     import yaml
 
     return yaml.safe_dump([{k: c[k] for k in ("priority", "suites", "input", "expected")} for c in cases], sort_keys=False, allow_unicode=True)
+
+
+def stop_word_items(words: DataFrame, domain: str = "stop") -> DataFrame:
+    """Stop words (text) as items of a domain, matched exactly; each word is an item of its own. To be left out of
+    ingestion: they only lend their terms. Blank texts are no items."""
+    rows = words.where(F.col("text") != "").distinct()
+    expression = F.array(F.concat(F.lit("exact:"), F.col("text")))
+    return rows.select(F.lit(domain).alias("domain"), F.lit(0).alias("ord"), F.crc32("text").alias("pid"), F.col("text").alias("name"), expression.alias("aliases"))

@@ -51,10 +51,16 @@ class LocalIndex:
         out = []
         for start, own in enumerate(hashes):
             tail = hashes[start:]
+            ahead = set(tail)
             row = [(0.0, 1, UNKNOWN_ID)]
             for alias in self.postings.get(own, ()):
                 prefix, matcher, domain = self.aliases[alias]
                 below = self.downstream[domain]
+                # whatever is aligned is among these terms: downstream terms only, and not all, are always rejected
+                wanted = set(prefix)
+                shared = wanted & ahead
+                if len(shared) < len(wanted) and all(x >= RANGE or x in below for x in shared):
+                    continue
                 down = lambda x, below=below: x >= RANGE or x in below
                 value, length = score(prefix, REGISTRY[matcher](tail, prefix, down, lambda x: x >= 2 * RANGE), down)
                 if value is not None and value > 0 and length > 0:

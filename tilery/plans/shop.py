@@ -23,10 +23,9 @@ _QUANTIFIERS = [(1, "one", ["exact:(a,an,the)"]), (0, "none", ["exact:no"])]
 
 
 def shop_items(catalog: DataFrame) -> DataFrame:
-    """Items of all domains; catalogue names are matched as they are, beside their aliases."""
+    """Items of all domains."""
     spark = catalog.sparkSession
-    named = F.concat(F.array(F.lower("name")), F.coalesce("aliases", F.array().cast("array<string>")))
-    entities = catalog.select(F.lit("entities").alias("domain"), "ord", "pid", "name", F.array_distinct(named).alias("aliases"))
+    entities = catalog.select(F.lit("entities").alias("domain"), "ord", "pid", "name", "aliases")
     rows = [("quantifiers", i, p, n, a) for i, (p, n, a) in enumerate(_QUANTIFIERS)] + [("intents", i, p, n, a) for i, (p, n, a) in enumerate(_INTENTS)]
     return reduce(DataFrame.unionByName, [entities, spark.createDataFrame(rows, ITEM)])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilery.functions.matchers import PREFIX, RELAXED, exact_prefix_column, levenshtein_column, score_column
 from tilery.functions.numbers import number_matches
+from tilery.plans.session import shuffle_partitions
 from tilery.schemas import NUMBER_BASE, UNKNOWN_ID
 
 _EDGE = ("query_id", "start", "ord", "score", "length", "token_id")
@@ -87,6 +88,8 @@ def edge_lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 
     What is gathered in a row are the edges of one utterance."""
     usable = edges.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("length") > 0))
+    # all that follows is by utterance, so one shuffle does; solving graphs is dear for its bytes
+    usable = usable.repartition(shuffle_partitions(edges.sparkSession), "query_id")
     entry = F.struct((-F.col("score")).alias("worst"), "ord", "score", "length", "token_id")
     lists = usable.groupBy("query_id", "start").agg(F.array_sort(F.collect_list(entry)).alias("list"))
     lists = lists.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "list"))).alias("at"))

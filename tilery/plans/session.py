@@ -44,3 +44,9 @@ def durable(frame: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle, for steps whose rows are small and dear: adaptive execution would put them together by
+    their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

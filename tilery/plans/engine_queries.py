@@ -522,9 +522,10 @@ def relevance_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(input, observed): tokens of every distinct order input, which is solved once."""
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
-    inputs = cases.select("input").distinct().repartition(shuffle_partitions(spark), "input")
+    inputs = cases.select("input").distinct()
     lexicon = shop.shop_lexicon(spark, sf_dir, TermModel())
-    tiled = pipeline.tile_local(inputs.withColumn("said", speech_text(_c("input"))), "input", "said", lexicon)
+    said = inputs.withColumn("said", speech_text(_c("input"))).repartition(shuffle_partitions(spark))
+    tiled = pipeline.tile_local(said, "input", "said", lexicon)
     return pipeline.token_strings(tiled, "input", pipeline.token_table(lexicon, shop.KINDS))
 
 
@@ -555,8 +556,8 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def utterance_relevance_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(priority, n_passed, n_run): order cases of which some path reads as expected."""
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
-    tests = cases.join(_expected(cases), "case_id").repartition(shuffle_partitions(spark), "case_id")
-    tests = tests.withColumn("said", speech_text(_c("input")))
+    tests = cases.join(_expected(cases), "case_id").withColumn("said", speech_text(_c("input")))
+    tests = tests.repartition(shuffle_partitions(spark))
     judged = pipeline.accepts_local(tests, "case_id", "said", "wanted", shop.shop_lexicon(spark, sf_dir), shop.KINDS)
     return R.tally(judged.join(cases.select("case_id", "priority"), "case_id"), "priority")
 

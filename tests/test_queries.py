@@ -48,3 +48,13 @@ def test_against_sql(spark, name):
 def test_order_inputs_are_understood(spark):
     counts = QUERIES["utterance_relevance"](spark, SF).collect()
     assert sum(r["n_passed"] for r in counts) >= 0.6 * sum(r["n_run"] for r in counts)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_cases_without_an_expectation_count(spark):
+    cases = spark.read.parquet(f"{SF}/test_cases.parquet").where("kind = 'order' AND trim(input) <> ''")
+    assert cases.where("expected IS NULL OR trim(expected) = ''").count() > 0
+    for name in ("utterance_relevance", "utterance_relevance_any"):
+        assert sum(r["n_run"] for r in QUERIES[name](spark, SF).collect()) == cases.count()
+    based = QUERIES["relevance_rebase"](spark, SF)
+    assert based.count() == cases.count() and based.where("expected IS NULL").count() == 0

@@ -545,18 +545,18 @@ def _expected(cases: DataFrame) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order cases with their observed tokens."""
+    """Order cases with their observed tokens. One without an expectation stays, with none, and fails."""
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
     wanted = _expected(cases).select("case_id", F.array_join("wanted", " ").alias("wanted"))
-    joined = cases.join(wanted, "case_id").drop("expected").withColumnRenamed("wanted", "expected")
+    joined = cases.join(wanted, "case_id", "left").drop("expected").withColumnRenamed("wanted", "expected")
     return R.evaluate(joined, _observed(spark, sf_dir), "input")
 
 
 @query()
 def utterance_relevance_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(priority, n_passed, n_run): order cases of which some path reads as expected."""
+    """(priority, n_passed, n_run): order cases of which some path reads as expected. Cases without an expectation fail."""
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
-    tests = cases.join(_expected(cases), "case_id").withColumn("said", speech_text(_c("input")))
+    tests = cases.join(_expected(cases), "case_id", "left").withColumn("said", speech_text(_c("input")))
     tests = tests.repartition(shuffle_partitions(spark))
     judged = pipeline.accepts_local(tests, "case_id", "said", "wanted", shop.shop_lexicon(spark, sf_dir), shop.KINDS)
     return R.tally(judged.join(cases.select("case_id", "priority"), "case_id"), "priority")
@@ -576,11 +576,12 @@ def score_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def utterance_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(priority, n_passed, n_run): order cases whose observed tokens are the expected ones."""
+    """(priority, n_passed, n_run): order cases whose observed tokens are the expected ones. Cases without an expectation fail."""
     return R.tally(_evaluated(spark, sf_dir), "priority")
 
 
 @query()
 def relevance_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(priority, suites, input, expected): order cases with what is observed as the new expectation."""
+    """(priority, suites, input, expected): every order case that has an input, with what is observed as the new
+    expectation, whether it had one or not."""
     return R.rebase(_evaluated(spark, sf_dir))

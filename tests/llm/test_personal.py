@@ -74,6 +74,17 @@ def test_long_texts(finder):
     assert finder.spans("1" * 200_000 + "@" * 1000 + "(1" * 5000) == []
 
 
+def test_numbers_of_long_fields(finder):
+    numbers = [f"(415) 555-{n:04}" for n in range(130, 170)]
+    kept = lambda text: [(k, text[a:b]) for a, b, k in finder.spans(text)]
+    assert kept(" ".join(numbers[:3])) == [("PHONE", x) for x in numbers[:3]]
+    assert kept(" ".join(numbers)) == [("PHONE", x) for x in numbers]
+    assert kept("3.5" + " " * 30 + numbers[0]) == [("PHONE", numbers[0])]
+    assert kept("3.5" + " " * 34 + "918-28-6898") == [("ID_NUMBER", "918-28-6898")]
+    assert finder.replaced(" ".join(numbers)) == " ".join(["[PHONE]"] * len(numbers))
+    assert finder.spans("+1" + "1" * 100_000) == finder.spans(("+" + "1" * 90 + " ") * 2000) == []
+
+
 def test_frames(spark):
     rows = [(1, "jo@x.org jo@x.org", "k"), (1, None, "k"), (None, "", "k"), (2, "no", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")

@@ -2,7 +2,7 @@
 
 One automaton finds every anchor of a text in one pass: at-signs and their spellings, digits beside separators,
 street words, labels and cues, given names. At each anchor a deterministic parser looks a bounded way to both
-sides, takes the boundaries of the mailbox, number, address or name, and validates it. Found stretches that
+sides (for numbers: over the whole field of digits, blanks and ()-./+ it stands in, each field once), takes the boundaries of the mailbox, number, address or name, and validates it. Found stretches that
 overlap give way to the stronger kind, then to the longer. A text is read whole, whatever its length.
 
 Defined cases: null and empty texts hold nothing; the same stretch found twice in a text is kept twice here, with
@@ -51,7 +51,7 @@ _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)"
 _SPELT_DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}}[A-Za-z0-9])?)*?{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9_-])(?!{_DOT}[A-Za-z0-9])", re.I)
 _PHONE = re.compile(
     r"""(?<![\w.+/-])(?:
-      (?:\+|00)[1-9]\d{0,2}(?:[ ]?\(\d{1,5}\))?(?:[ ./-]?\d{1,12}){1,6}
+      (?:\+|00)[1-9]\d{0,2}(?:[ ]?\(\d{1,5}\))?(?:[ ./-]?\d{1,12}+){1,6}
     | 1(?P<o>[- ])\(?[2-9]\d\d\)?(?:(?P=o)|[ ])[2-9]\d\d[- ]\d{4}
     | \([2-9]\d\d\)[ ]?[2-9]\d\d[-. ]\d{4}
     | [2-9]\d\d(?P<s>[-. ])[2-9]\d\d(?P=s)\d{4}
@@ -60,6 +60,7 @@ _PHONE = re.compile(
     )(?![\w/-]|\.\d)""",
     re.X,
 )
+_DIGIT_FIELD = re.compile(r"[0-9+()./ -]*")
 _SOCIAL = re.compile(r"(?<![\w.+/-])\d{3}(?P<s>[- ])\d{2}(?P=s)\d{4}(?![\w/-]|\.\d)")
 _INSURANCE = re.compile(r"(?<![A-Za-z0-9-])[A-Z]{2}(?P<s>[ ]?)\d\d(?P=s)\d\d(?P=s)\d\d(?P=s)[A-D](?![A-Za-z0-9-])")
 _PASSPORT = re.compile(r"(?<![A-Za-z0-9-])[A-Z]{1,2}\d{7}(?![A-Za-z0-9-])")
@@ -120,18 +121,16 @@ def _email(text: str, at: int, end: int) -> Iterator[Span]:
     yield start, domain.end(), EMAIL
 
 
-def _field(text: str, at: int, end: int, chars: str, reach: int = 40) -> tuple[int, int]:
-    """The stretch around an anchor that is made of the given characters."""
-    start, stop = at, end
-    while start > 0 and at - start < reach and text[start - 1] in chars:
+def _field(text: str, at: int, end: int) -> tuple[int, int]:
+    """The whole stretch of digits, blanks and ()-./+ around an anchor, whatever its length."""
+    start = at
+    while start > 0 and text[start - 1] in "0123456789+()-./ ":
         start -= 1
-    while stop < len(text) and stop - end < reach and text[stop] in chars:
-        stop += 1
-    return start, stop
+    return start, _DIGIT_FIELD.match(text, end).end()
 
 
-def _numbers(text: str, at: int, end: int) -> Iterator[Span]:
-    start, stop = _field(text, at, end, "0123456789+()-./ ")
+def _numbers(text: str, start: int, stop: int) -> Iterator[Span]:
+    """Numbers of a whole field: a part of one would cut those at its ends."""
     for m in _PHONE.finditer(text, start, stop):
         digits = sum(c.isdigit() for c in m.group())
         if 9 <= digits <= 15 and not (m.end() < len(text) and text[m.end()].isalnum()):
@@ -250,15 +249,16 @@ class Finder:
         if not text:
             return []
         met: set[Span] = set()
-        tried: dict[Callable, int] = {}
+        read = -1
         for last, (size, parsers) in self.automaton.iter(text):
             at, end = last + 1 - size, last + 1
             for parser in parsers:
                 if parser is _numbers:
-                    # one look at each field of digits
-                    if tried.get(parser, -1) > at:
+                    # one look at each field of digits, which is read whole
+                    if read > at:
                         continue
-                    tried[parser] = _field(text, at, end, "0123456789+()-./ ")[1]
+                    at, end = _field(text, at, end)
+                    read = end
                 met.update(parser(text, at, end))
         if len(met) < 2:
             return list(met)

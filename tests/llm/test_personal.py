@@ -85,6 +85,28 @@ def test_numbers_of_long_fields(finder):
     assert finder.spans("+1" + "1" * 100_000) == finder.spans(("+" + "1" * 90 + " ") * 2000) == []
 
 
+UNLISTED = [
+    ("x = 1  // Xochitl Quispe fixed the race", ["Xochitl Quispe"]),
+    ("# Tuomas Virtanen and Nkechi Obi-Eze moved this index", ["Tuomas Virtanen", "Nkechi Obi-Eze"]),
+    ("VALUES_OF('Xochitl Quispe', '1432 Sorrel Street, Unit 39, Tolvera 00307')", ["Xochitl Quispe"]),
+    ("From: Tuomas Virtanen <tuomas@x.org>", ["Tuomas Virtanen"]),
+    ("7,Nkechi Obi,nkechi@x.org,(415) 555-0134", ["Nkechi Obi"]),
+    ("jo@x.org (Nkechi Obi)", ["Nkechi Obi"]),
+    ("reviewed by: Tuomas Virtanen", ["Tuomas Virtanen"]),
+    ("see Priya Nair for it; then Kenji Watanabe", ["Priya Nair", "Kenji Watanabe"]),
+    ("// Memory Leak fixed in 2.3", []),
+    ("// Garbage Collector moved the rest", []),
+    ("Customer Support: help@x.org", []),
+    ("# INSERT INTO people", []),
+    ("# Northgate Tooling released the parcel, info@x.org", []),
+]
+
+
+@pytest.mark.parametrize("text, want", UNLISTED)
+def test_names_without_a_listed_label(finder, text, want):
+    assert [text[a:b] for a, b, kind in finder.spans(text) if kind == "NAME"] == want
+
+
 def test_frames(spark):
     rows = [(1, "jo@x.org jo@x.org", "k"), (1, None, "k"), (None, "", "k"), (2, "no", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")

@@ -1,8 +1,8 @@
 """Personal information inside free text: anchors found by Aho-Corasick, expanded by local parsers.
 
 One automaton finds every anchor of a text in one pass: at-signs and their spellings, digits beside separators,
-street words, labels and cues, given names. At each anchor a deterministic parser looks a bounded way to both
-sides (for numbers: over the whole field of digits, blanks and ()-./+ it stands in, each field once), takes the boundaries of the mailbox, number, address or name, and validates it. Found stretches that
+street words, labels and cues, given names, beginnings of comments. At each anchor a deterministic parser looks a bounded way to both
+sides (for numbers: over the whole field of digits, blanks and ()-./+ it stands in, each field once), takes the boundaries of the mailbox, number, address or name, and validates it. Names also stand right beside what was found of the other kinds. Found stretches that
 overlap give way to the stronger kind, then to the longer. A text is read whole, whatever its length.
 
 Defined cases: null and empty texts hold nothing; the same stretch found twice in a text is kept twice here, with
@@ -31,6 +31,7 @@ UNITS = ("Apt", "Apartment", "Unit", "Suite", "Ste", "Flat", "Floor", "Room", "R
 NAME_LABELS = (
     "author", "authors", "written by", "maintainer", "maintained by", "reviewed-by", "signed-off-by", "acked-by", "tested-by",
     "co-authored-by", "reported-by", "contact", "deliver to", "ship to", "attn", "todo: ask", "ask", "thanks to", "courtesy of",
+    "fixed by", "reported by", "suggested by", "reviewed by", "approved by", "added by", "created by", "contributed by", "tested by", "todo(", "fixme(", "cc",
     "pairing notes", "row for", "record for", '"name"', "'name'", "name", "owners", "owner", "copyright", "(c)", "©", "values (", "assigned to",
 )
 NAME_FOLLOWERS = (" reported this", " and the ", " wrote ", " agreed to ")
@@ -39,11 +40,49 @@ COMPANY_WORDS = (
     "inc", "institute", "labs", "limited", "llc", "ltd", "oy", "partners", "project", "sa", "sarl", "se", "software", "solutions",
     "studio", "systems", "team", "technologies", "tooling", "university", "works",
 )
-GIVEN_NAMES = (
-    "Amara", "Anna", "Ansel", "Brielle", "Caspian", "Dilan", "Edda", "Elena", "Emma", "Greta", "Hanna", "Héloïse", "Ilse", "Ines",
-    "James", "Jonas", "Jorun", "Kofi", "Lena", "Linnea", "Luca", "Lucas", "Maria", "Marek", "Matteo", "Mia", "Mira", "Noor", "Odile",
-    "Oona", "Pavel", "Ravi", "Ruben", "Sara", "Solveig", "Sören", "Tamsin", "Thomas", "Tobin", "Yusuf", "Zofia",
-)
+#: A general lexicon, of many languages; names that are common words, places or products are left out.
+GIVEN_NAMES = tuple(
+    """
+    Aaron Abdul Abdullah Abigail Adam Adele Adrian Agnes Ahmed Aiko Aisha Akira Alan Albert Alejandro Alessandro Alexander
+    Alexandra Alexandre Alfred Alice Alicia Alina Allison Amanda Amara Amelia Amina Amir Amit Anastasia Anders Andrea
+    Andreas Andrei Andrew Angela Anil Anita Anjali Anna Annika Ansel Antoine Anton Antonio Aoife Arjun Arthur Arturo Asha
+    Astrid Barbara Beatrice Benjamin Bernard Birgit Bjorn Bogdan Brian Brielle Bruno Camille Carlos Carmen Caroline Caspian
+    Catherine Cecilia Charles Charlotte Chiara Chinedu Christian Christina Christopher Claire Clara Claudia Clément Cristina
+    Daniel Daniela Danielle David Deborah Deepak Denise Dennis Derek Diana Diego Dilan Dimitri Dmitri Dominik Donald Dorothy
+    Douglas Edda Eduardo Edward Eileen Ekaterina Eleanor Elena Elif Elisabeth Elizabeth Emil Emily Emma Enrique Eric Erik
+    Esther Eugene Evelyn Fatima Federico Felipe Fernando Fiona Francesca Francesco Francisco Franz François Frédéric Gabriel
+    Gabriela Geoffrey George Gerald Gianluca Giovanni Giulia Giuseppe Gonzalo Gregory Greta Guillaume Gunnar Gustav Hanna
+    Hannah Hans Harold Hassan Heather Heinrich Helen Helena Henrik Henry Hiroshi Hugo Héloïse Ibrahim Igor Ilse Ines Ingrid
+    Irina Isabel Isabella Ivan Jacob Jacques Jakub James Jan Jane Jasmine Javier Jean Jennifer Jeremy Jessica Joanna Johan
+    Johannes John Jonas Jonathan Jorge Jorun Joseph Joshua José João Juan Judith Jürgen Kamal Karen Karin Karl Katarina
+    Katherine Kathleen Kenji Kenneth Kevin Khalid Klaus Kofi Kristina Krzysztof Kumar Lars Laura Laurent Leila Lena Leonardo
+    Linda Linnea Lorenzo Louise Luca Lucas Lucia Ludwig Luis Luisa Lukas Magnus Mahmoud Malik Manuel Marcel Marco Marcus
+    Marek Margaret Maria Marie Mario Marta Martin Martina Mateo Mathieu Matteo Matthew Matthias Maurice Mehmet Mei Melissa
+    Mia Michael Michal Michel Michelle Miguel Mikhail Mira Mohamed Mohammed Monika Mustafa Nadia Nancy Naomi Natalia Natalie
+    Natasha Nathan Neha Nicholas Nicolas Nicole Niklas Nikolai Nikolaus Nina Nisha Noah Noor Odile Olga Oliver Olivia
+    Olivier Omar Oona Oscar Pablo Pamela Patricia Patrick Paul Paula Pauline Pavel Pedro Peter Petra Philip Philippe Pierre
+    Piotr Pooja Priya Rachel Rafael Rahul Rajesh Ralph Ravi Raúl Rebecca Renata Ricardo Richard Robert Roberto Rodrigo Roger
+    Roland Ronald Rosalind Ruben Ryan Samantha Samuel Sandra Sanjay Sara Sarah Satoshi Sean Sebastian Sergei Sergio Sharon
+    Shreya Simon Sofia Solveig Sophie Stefan Stefano Stephanie Stephen Steven Sunita Suresh Susan Svetlana Sören Takeshi
+    Tamsin Tatiana Teresa Theodore Theresa Thomas Timothy Tobin Tomasz Ulrich Valentina Valeria Vera Veronica Victor
+    Victoria Vijay Vikram Vincent Vladimir Walter Wanjiru Werner William Wojciech Xavier Yasmin Yolanda Yuki Yusuf Yusuke
+    Yvonne Zahra Zeynep Zofia
+    """.split()
+)
+#: Where a comment begins; what people do there to something.
+COMMENTS = ("// ", "# ", "/* ", "* ", "-- ", "<!-- ")
+_DOES = re.compile(
+    r"(?:[ ]and[ ](?:the|our|his|her|their|some)(?:[ ][a-z]+){1,3}?)?[ ](?:[a-z]+ed|began|broke|built|chose|did|drew|found|gave|got|has|kept|knows|made|met|owns|put|rewrote|said|saw|says|sent|set|spoke|thinks|thought|told|took|wants|went|wrote)"
+    r"[ ](?:the|a|an|this|that|these|those|our|my|his|her|their|its|it|us|me|to|why|how|what|some|all|both|with|about)\b"
+)
+#: Capital words beside an address or in a comment that are no names of people.
+NO_NAMES = frozenset(
+    """access account active address admin agent api application back billing bug build cache channel client code collector column contact controller core customer daemon data database
+    date default department desk drive editor email engine every feature fixed front garbage general head header help home index info key legal line list log mail mailing main manager
+    memory message mobile new no node null office old open order orders our page parser phone please press primary privacy process product queue read record release report reports row
+    sales scheduler security see send server service session shipping source staff store street support system table task tel telephone test the this thread to town unit update user
+    version via visit web worker write your""".split()
+)
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9_-])")
@@ -90,6 +129,11 @@ _LABEL_GAP = re.compile(r"[\s:=\"'\[(*]*(?:\(c\)|©)?\s*(?:\d{4}(?:\s*[-–,]\s*
 _NEXT_WORD = re.compile(rf",?[ ](?:&[ ])?({_CAP})")
 _ANOTHER = re.compile(r",?[ ](?:and|&)[ ]")
 
+#: Between a name and a mailbox, number or address of the same person, to its right and to its left.
+_TO_CONTACT = re.compile(r"[\"']?(?:[ \t]*[,;:|<(\[=–-]+|[ \t])[ \t]*(?:[a-z][a-z.-]{0,12}[ \t]?){0,3}[:=<(\[\"'+ \t]{0,4}")
+_FROM_CONTACT = re.compile(r"[\"'>)\]]{0,2}[ \t]*[,;|(\[:–-]+[ \t]*[\"'(]?|[ \t]+\(")
+_PAIR = re.compile(rf"(?<![\w.’@/-])(?<!\w'){_PERSON}")
+
 Span = tuple[int, int, str]
 
 
@@ -211,6 +255,37 @@ def _given(text: str, at: int, end: int) -> Iterator[Span]:
             yield low + before.start(), initials.end(), NAME
 
 
+def _plausible(text: str, start: int, end: int) -> bool:
+    """Whether capital words that neither a label nor a given name marks can be a person's."""
+    words = [w.strip(".,").lower() for w in text[start:end].split()]
+    return not text[start:end].isupper() and not any(w in NO_NAMES for w in words) and _is_person(text, start, end)
+
+
+def _commented(text: str, at: int, end: int) -> Iterator[Span]:
+    """People at the beginning of a comment that says what they did."""
+    people, start = [], end
+    while m := _PERSON_HERE.match(text, start, min(len(text), start + 80)):
+        people.append((m.start(), m.end(), NAME))
+        more = _ANOTHER.match(text, m.end())
+        if not more:
+            break
+        start = more.end()
+    if people and _DOES.match(text, people[-1][1], min(len(text), people[-1][1] + 40)):
+        yield from (p for p in people if _plausible(text, p[0], p[1]))
+
+
+def _beside(text: str, at: int, end: int) -> Iterator[Span]:
+    """People right before or after a mailbox, number or address, on its line."""
+    low = max(0, at - 100, text.rfind("\n", max(0, at - 100), at) + 1)
+    for m in _PAIR.finditer(text, low, at):
+        if _TO_CONTACT.fullmatch(text, m.end(), at) and _plausible(text, m.start(), m.end()):
+            yield m.start(), m.end(), NAME
+    gap = _FROM_CONTACT.match(text, end, min(len(text), end + 8))
+    m = gap and _PERSON_HERE.match(text, gap.end(), min(len(text), gap.end() + 80))
+    if m and _plausible(text, m.start(), m.end()):
+        yield m.start(), m.end(), NAME
+
+
 def anchors() -> list[tuple[str, Callable]]:
     """Every anchor with its parser."""
     digits, out = "0123456789", [("@", _email)]
@@ -224,6 +299,7 @@ def anchors() -> list[tuple[str, Callable]]:
     out += [(f"{x} ", _address) for x in (*STREET_OPENERS, *STREET_ENDINGS)]
     out += [(x, _labelled) for label in NAME_LABELS for x in cased(label)]
     out += [(x, _followed) for x in NAME_FOLLOWERS]
+    out += [(x, _commented) for x in COMMENTS]
     out += [(x, _given) for name in GIVEN_NAMES for x in (name, name.upper())]
     return out
 
@@ -260,6 +336,8 @@ class Finder:
                     at, end = _field(text, at, end)
                     read = end
                 met.update(parser(text, at, end))
+        for start, end, kind in [s for s in met if s[2] != NAME]:
+            met.update(_beside(text, start, end))
         if len(met) < 2:
             return list(met)
         chosen: list[Span] = []

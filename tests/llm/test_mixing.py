@@ -92,3 +92,20 @@ def test_odd_rows(spark):
     assert empty.report.first()["expected"] == 0 and empty.documents.count() == 0
     none = M.mix_sources(frame, targets.limit(0), "id", "text", "source", soft=False)
     assert none.report.count() == 0
+
+
+def test_copies_are_sampled_one_by_one(spark):
+    rows = [(i, "apple pear plum", 0) for i in range(3000)] + [(3000 + i, f"iron{i} zinc lead", 1) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, text string, label int")
+    priors = np.exp(M.fit_classifier(frame, "text", "label", 2, rows=1800, key="id").priors)
+    assert priors[0] == pytest.approx(1 / 3, abs=0.06)
+
+
+def test_mixing_samples_by_key(spark, monkeypatch):
+    met = {}
+    fit = M.fit_classifier
+    monkeypatch.setattr(M, "fit_classifier", lambda *a, **k: met.setdefault("model", fit(*a, **(k | {"rows": 200}))))
+    copies = spark.createDataFrame([(i, "apple pear plum", "a") for i in range(1000)] + [(1000 + i, f"iron{i} zinc", "b") for i in range(1000)], "id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
+    M.mix_sources(copies, targets, "id", "text", "source", rounds=1)
+    assert np.exp(met["model"].priors)[0] == pytest.approx(0.5, abs=0.15)

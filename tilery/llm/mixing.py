@@ -94,14 +94,15 @@ class Classifier:
         return F.pandas_udf(score, T.ArrayType(T.DoubleType()))
 
 
-def fit_classifier(documents: DataFrame, text: str, label: str, domains: int, rows: int = TRAIN_ROWS) -> Classifier:
-    """Fits on the documents with a non-null integer label; of a large table on a hash sample of about `rows`.
+def fit_classifier(documents: DataFrame, text: str, label: str, domains: int, rows: int = TRAIN_ROWS, key: str | None = None) -> Classifier:
+    """Fits on the documents with a non-null integer label; of a large table on a hash sample of about `rows`, drawn by
+    the document key and text, so copies of one text are drawn one by one; without a key they stay together.
 
     What comes to the driver is one count per domain and bucket, at any size of the table."""
-    labelled = documents.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    labelled = documents.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), (F.col(key) if key else F.lit(None)).alias("key"))
     n = labelled.count()
     if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+        labelled = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
     counts = labelled.select("label", F.explode(_words(F.col("text"))).alias("word")).groupBy("label", _bucket(F.col("word")).alias("bucket"))
     words, priors = np.ones((domains, BUCKETS)), np.ones(domains)
     for d, b, c in counts.agg(F.count("*")).collect():
@@ -165,7 +166,7 @@ def mix_sources(
     # the result's own columns take the place of any of their names
     labelled = documents.drop(*({"rate", "copies", "tokens"} - {key, text, source})).withColumn("__label", label)
     if soft:
-        model = fit_classifier(labelled, text, "__label", size)
+        model = fit_classifier(labelled, text, "__label", size, key=key)
         hashes = F.transform(_words(F.col(text)), _bucket)
         # only documents without a listed source are read for their words
         posterior = F.when(F.col("__label").isNull(), model.posterior()(F.when(F.col("__label").isNull(), hashes)))

@@ -1,9 +1,10 @@
-"""Frequency of every distinct term: blockwise count arrays over a global integer dictionary.
+"""Frequency of every distinct term: blockwise count arrays, summed by the owner of each term.
 
 A block (one Arrow batch of records) is encoded against its own dictionary and counted into two arrays,
-occurrences and records holding the term. One shuffle brings the counts to the owner of the term's
-identifier range; the owner reads them in order of the term, gives each distinct term its integer
-identifier and sums the arrays of the blocks. Memory is bounded by a batch on either side, and a term that
+occurrences and records holding the term. One shuffle brings the term strings and counts to the owner of their
+hash; the owner reads them in order of the term, sums the counts of the blocks and gives each distinct term an
+integer identifier in a range of its own. Nothing is encoded by these identifiers: a global dictionary before
+the sums would need a shuffle of the same strings. Memory is bounded by a batch on either side, and a term that
 all records hold arrives once per block only.
 
 Defined cases: a null list or text is a record without terms unless the caller leaves it out; null and blank

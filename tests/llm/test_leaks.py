@@ -95,3 +95,15 @@ def test_items_in_parts(spark):
     rows = search_leaks(frame, "doc_id", "text", listed, "item_id", "text", most=2000).collect()
     got = {(r["doc_id"], r["item_id"]) for r in rows}
     assert got == brute(documents, items) and len(got) == len(rows)
+
+
+def test_parts_of_uneven_size(spark, monkeypatch):
+    monkeypatch.setattr("tilery.llm.leaks.MAX_ITEM_CHARS", 2000)
+    documents, items = make(12, n_docs=40)
+    items = [*items, (999, " ".join(f"long{i}" for i in range(400)))]
+    documents = [*documents, (9999, " ".join(f"long{i}" for i in range(50, 90)))]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    listed = spark.createDataFrame(items, "item_id long, text string")
+    rows = search_leaks(frame, "doc_id", "text", listed, "item_id", "text", most=2000).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got == brute(documents, items) and (9999, 999) in got and len(got) == len(rows)

@@ -30,6 +30,8 @@ from tilery.functions.text import flat
 RUN, PASSAGE, BLOCK = 13, 64, 16
 #: An index is built on the driver and broadcast; items of more characters than this are searched in parts.
 MAX_ITEM_CHARS = 8_000_000
+#: Parts of items that are too large are split again at most so often.
+MAX_SPLITS = 8
 _K1, _B = 1.2, 0.75
 
 
@@ -134,11 +136,11 @@ def _size(items: DataFrame, text: str) -> int:
     return items.agg(F.sum(F.length(text))).first()[0] or 0
 
 
-def build_index(items: DataFrame, key: str, text: str, run: int = RUN, block: int = BLOCK) -> ItemIndex:
+def build_index(items: DataFrame, key: str, text: str, run: int = RUN, block: int = BLOCK, most: int | None = None) -> ItemIndex:
     """Index of a table of items that is checked to be small enough for one machine."""
-    size = _size(items, text)
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items; an index takes {MAX_ITEM_CHARS}: search_leaks splits them")
+    size, most = _size(items, text), MAX_ITEM_CHARS if most is None else most
+    if size > most:
+        raise ValueError(f"{size} characters of items; an index takes {most}: search_leaks splits them")
     rows = items.select(key, text).where(F.col(text).isNotNull()).collect()
     return ItemIndex([r[0] for r in rows], [r[1] for r in rows], run, block, items.schema[key].dataType.simpleString())
 
@@ -216,9 +218,22 @@ def leaked(documents: DataFrame, key: str, text: str, index: ItemIndex, passage:
 
 def search_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, most: int = MAX_ITEM_CHARS) -> DataFrame:
     """(key, item_id, runs) for items of any number: those beyond the size of one index are split by a hash of their
-    key, and the documents are read once for each part."""
-    parts = max(1, -(-_size(items, item_text) // most))
-    if parts == 1:
-        return leaked(documents, key, text, build_index(items, item_key, item_text))
-    part = F.pmod(F.xxhash64(item_key), F.lit(parts))
-    return reduce(DataFrame.unionByName, [leaked(documents, key, text, build_index(items.where(part == i), item_key, item_text)) for i in range(parts)])
+    key, and the documents are read once for each part. Hash parts are never equal, so they are planned at half of
+    that size, and one that is still too large is split again. A single item above the limit is an index of its own."""
+    size = _size(items, item_text)
+    return reduce(DataFrame.unionByName, [leaked(documents, key, text, index) for index in _indexes(items, item_key, item_text, size, most)])
+
+
+def _indexes(items: DataFrame, key: str, text: str, size: int, most: int, depth: int = 0) -> Iterator[ItemIndex]:
+    """Indexes of at most `most` characters that together hold all items; of one item if that alone is larger."""
+    if size <= most or (depth and items.where(F.col(text).isNotNull()).limit(2).count() < 2):
+        yield build_index(items, key, text, most=max(size, most))
+        return
+    if depth == MAX_SPLITS:
+        raise ValueError(f"{size} characters of items of one key; an index takes {most}")
+    parts = -(-2 * size // most)
+    # another seed at each depth: what met in one part is parted
+    part = F.pmod(F.xxhash64(F.lit(depth), key), F.lit(parts))
+    sizes = dict(items.groupBy(part.alias("part")).agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).collect())
+    for i, own in sorted(sizes.items()):
+        yield from _indexes(items.where(part == i), key, text, own, most, depth + 1)

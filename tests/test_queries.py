@@ -58,3 +58,26 @@ def test_cases_without_an_expectation_count(spark):
         assert sum(r["n_run"] for r in QUERIES[name](spark, SF).collect()) == cases.count()
     based = QUERIES["relevance_rebase"](spark, SF)
     assert based.count() == cases.count() and based.where("expected IS NULL").count() == 0
+
+
+def test_speech_of_every_input(spark, tmp_path):
+    cases = {
+        ("order", "Okay, 2 teas & 1/2 a pie!"): "ok two teas and half a pie",
+        ("order", "two (small) teas"): "two small teas",
+        ("lookup", "size 42 boots"): "size forty two boots",
+        ("lookup", "1/4 bolt, 10%"): "quarter bolt ten percent",
+        (None, "‘x’"): "'x'",
+        ("lookup", ""): "",
+        ("lookup", None): None,
+    }
+    rows = [(i, kind, text) for i, (kind, text) in enumerate(cases)]
+    spark.createDataFrame(rows, "case_id long, kind string, input string").write.parquet(f"{tmp_path}/test_cases.parquet")
+    got = {r["case_id"]: r["said"] for r in QUERIES["speech_normalised"](spark, str(tmp_path)).collect()}
+    assert got == {i: said for i, said in enumerate(cases.values()) if said is not None}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_speech_leaves_no_input_out(spark):
+    inputs = spark.read.parquet(f"{SF}/test_cases.parquet").where("input IS NOT NULL")
+    said = QUERIES["speech_normalised"](spark, SF)
+    assert said.count() == inputs.count() and said.where(r"said IS NULL OR said RLIKE '(^| )[0-9]+( |$)'").count() == 0

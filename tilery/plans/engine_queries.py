@@ -333,11 +333,18 @@ def number_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     '[,.?!"\-()]', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM test_cases WHERE input IS NOT NULL AND kind = 'order' AND NOT regexp_matches(lower(input), 'okay|1/2|1/4')"""
 )
 def speech_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, said): order inputs through the speech normaliser, numbers left as they are."""
+    """(case_id, said): order inputs through the speech normaliser as far as SQL can follow: numbers left as they are, no
+    rows with a word of SPOKEN. speech_normalised is the whole of it."""
     cases = table(spark, sf_dir, "test_cases").where("input IS NOT NULL AND kind = 'order' AND NOT lower(input) RLIKE 'okay|1/2|1/4'")
     return cases.select("case_id", speech_text(_c("input"), digits=False).alias("said"))
 
 
+@query()
+def speech_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, said): every input through the whole speech normaliser, number words and SPOKEN included."""
+    return table(spark, sf_dir, "test_cases").where("input IS NOT NULL").select("case_id", speech_text(_c("input")).alias("said"))
+
+
 @query(
     r"""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '[ENTITY:' || upper(regexp_replace(p_name, '\s', '_', 'g')) || ',' || p_partkey || ']'
     WHEN p_size % 5 = 1 THEN '[' || p_name || ']' WHEN p_size % 5 = 2 THEN '[QUANTIFIER:' || p_size || ']' WHEN p_size % 5 = 3 THEN '[WORD:' || p_brand || ']'

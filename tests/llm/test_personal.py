@@ -92,6 +92,7 @@ UNLISTED = [
     ("From: Tuomas Virtanen <tuomas@x.org>", ["Tuomas Virtanen"]),
     ("7,Nkechi Obi,nkechi@x.org,(415) 555-0134", ["Nkechi Obi"]),
     ("jo@x.org (Nkechi Obi)", ["Nkechi Obi"]),
+    ("TODO(Tuomas Virtanen): x", ["Tuomas Virtanen"]),
     ("reviewed by: Tuomas Virtanen", ["Tuomas Virtanen"]),
     ("see Priya Nair for it; then Kenji Watanabe", ["Priya Nair", "Kenji Watanabe"]),
     ("// Memory Leak fixed in 2.3", []),

@@ -219,7 +219,7 @@ def _labelled(text: str, at: int, end: int) -> Iterator[Span]:
         return
     gap = _LABEL_GAP.match(text, end, min(len(text), end + 40))
     start = gap.end()
-    if start == end or (text[at:end] in ("(c)", "(C)", "©") and not any(map(str.isdigit, gap.group()))):
+    if (start == end and text[end - 1] != "(") or (text[at:end] in ("(c)", "(C)", "©") and not any(map(str.isdigit, gap.group()))):
         return  # the sign of a copyright has a year; else it is the third item of a list
     while True:
         m = _PERSON_HERE.match(text, start, min(len(text), start + 80))

@@ -1,42 +1,53 @@
 """Mapping free-entered values to a canonical list.
 
-Values are deduplicated and normalised; a character n-gram inverted index of the list retrieves candidates;
-a weighted cosine scores them; what passes the threshold is checked word by word, and accepted if it beats the
-next entry by a margin. Values that no entry is accepted for are reported with -1.
-
-Features of a text are the padded 2- and 3-grams of its words and the 2-grams of their consonants, so that
-typing errors, joined and divided words, word order and dropped vowels leave most of them standing. A feature
-weighs ln(1 + n / entries that hold it); words that most entries share thus count little.
-
-The word check wants every distinctive word of an entry in the value (as typed with errors, without vowels, cut
-off, or joined to or divided by blanks), and nothing else in it but shared words of the list, their synonyms,
-and fillers. So a value whose words occur in the list, but not together, maps to nothing.
-
-Defined cases: null and blank values are left out, others without letters and digits map to nothing; the same value maps alike wherever it stands; ties are
-not accepted; an empty list maps everything to -1; repeated entries need one key; other columns are ignored.
+Values are normalised and deduplicated; an inverted index of the list by character n-grams retrieves candidates;
+a weighted cosine scores them; the best entry is accepted if it reaches the threshold and leads the next entry by
+the margin. Values that no entry is accepted for are reported with -1.
+
+Features of a text are the 2- and 3-grams of its words with their ends marked, and those of the words without
+their inner vowels, so that typing errors, dropped vowels, joined or divided words and another order of words leave most
+of them standing. A feature weighs the root of its rarity, sqrt(ln(1 + n / entries that hold it)), or less
+if it is commoner among the values than that: words that people put around what they ask for count little, as do
+words that most entries share, without a list of either.
+
+Candidates are bounded by the cosine: the features held by the most entries (a set S of at most BITS, each held by more
+than one in COMMON) generate only pairs that could reach the threshold by them alone, |x_S| * |y_S| >= threshold. For all
+others their part of the score is added where the other part can still reach the threshold with it. Nothing is lost by
+it: the pairs and scores are those of the full cosine.
+
+A caller whose list must have a thing as such may ask for a last check of what is accepted: of each distinctive word of the
+entry, one that at most one in SHARED entries hold, the value must have the share `cover` of the features, so that
+`waterproof bottle` isn't mapped to the only waterproof thing of the list. By default `new york` means New York City.
+
+Defined cases: null and blank values are left out, others without letters and digits map to nothing; the same value
+maps alike wherever it stands; ties are not accepted; an empty list maps everything to -1; entries of equal plain text
+are one, with the least of their keys; entries with a null key or without letters and digits are left out; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from itertools import product
 from math import log
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words people put around what they ask for.
-FILLERS = ("a", "an", "the", "some", "one", "my", "for", "in", "of", "with", "please", "pls", "thx", "thanks", "new", "x1", "test")
-#: Other words for words that many entries share.
-SYNONYMS = {"bicycle": ("bike", "cycle", "byke", "bikycle", "bicycel")}
-#: Cosine from which an entry is a candidate, and its lead over the next entry that passes the check too.
-THRESHOLD, MARGIN = 0.2, 0.02
-#: A word in more than this share of the entries is shared, not distinctive.
-SHARED = 0.25
+from tilery.plans.session import durable
+
+#: Least cosine of an accepted entry, and its least lead over the next one.
+THRESHOLD, MARGIN = 0.3, 0.06
+#: A feature that more than one in COMMON entries hold is common, of at most BITS of them.
+COMMON, BITS = 8, 56
+#: Words of more than one in SHARED entries may be missing in a value, whatever is asked of the others.
+SHARED = 4
+#: The index is broadcast up to so many (feature, entry) rows, and joined in a shuffle beyond.
+BROADCAST_ROWS = 500_000
 UNMATCHED = -1
+#: Pairs this far below a bound are still looked at: sums are made in different orders.
+SLACK = 1e-9
 
 
 def plain(text: str) -> str:
@@ -46,207 +57,137 @@ def plain(text: str) -> str:
     return " ".join("".join(x if x.isalnum() else " " for x in text).split())
 
 
-def consonants(word: str) -> str:
-    return word[:1] + "".join(x for x in word[1:] if x not in "aeiou")
-
+@F.arrow_udf(T.StringType())
+def plain_form(values: pa.Array) -> pa.Array:
+    """`plain` of a column. ASCII stays in Arrow; each distinct other text goes through unicodedata once."""
+    values = values.cast(pa.large_string())
+    out = pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(values), pattern="[^a-z0-9]+", replacement=" "), characters=" ")
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(values)), False)
+    if pc.any(other).as_py():
+        coded = values.filter(other).dictionary_encode()
+        own = pa.array([plain(x) for x in coded.dictionary.to_pylist()], pa.large_string())
+        out = pc.replace_with_mask(out, other, own.take(coded.indices))
+    return out.cast(pa.string())
+
+
+def features(text: Column) -> Column:
+    """The distinct n-grams of a plain text: of its words, ends marked by ^ and $, and behind a ~ of the words
+    without vowels after their first letter."""
+    marked = F.concat(F.lit("^"), F.replace(text, F.lit(" "), F.lit("$ ^")), F.lit("$"))
+    bare = F.regexp_replace(text, r"(?<=\S)[aeiou]", "")
+    grams = lambda x, n: F.regexp_extract_all(x, F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1))
+    tilde = lambda x: F.transform(x, lambda g: F.concat(F.lit("~"), g))
+    return F.array_distinct(F.concat(grams(marked, 2), grams(marked, 3), tilde(grams(bare, 2)), tilde(grams(bare, 3))))
+
+
+def _each(texts: DataFrame, key: str) -> DataFrame:
+    return texts.select(key, F.explode_outer("grams").alias("gram"))
+
+
+def _weights(entries: DataFrame, values: DataFrame, n: int, v: int) -> DataFrame:
+    """(gram, w, held): weights of the grams that don't have the full one, sqrt(ln(1 + n)), and of all that entries
+    hold. A gram of the values only is among them if more than 1 in n texts hold it, so the table
+    grows with the list, not with the values."""
+    held = _each(entries, "entry_id").groupBy("gram").agg(F.count("*").alias("held"))
+    seen = _each(values, "value_id").groupBy("gram").agg(F.count("*").alias("seen")).where(F.col("seen") > (v + n) / n)
+    rarity = F.least(F.ln(1 + n / F.coalesce("held", F.lit(1))), F.ln(1 + (v + n) / F.coalesce("seen", F.lit(1))))
+    return held.join(seen, "gram", "full").select("gram", F.sqrt(rarity).alias("w"), "held")
+
+
+def retrieve(values: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(value_id, entry_id, cosine) of all pairs of values (value_id, value) and entries (entry_id, entry), both of
+    distinct plain texts, whose cosine is at least `least`."""
+    spark = values.sparkSession
+    entries = durable(entries.select("entry_id", features(F.col("entry")).alias("grams")))
+    n, postings = entries.agg(F.count("*"), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
+    kind = entries.schema["entry_id"].dataType
+    if not n:
+        return values.select("value_id", F.lit(None).cast(kind).alias("entry_id"), F.lit(0.0).alias("cosine")).where(F.lit(False))
+    v = values.count()
+    # partitioned by value: what follows needs no shuffle of the exploded rows while the index is broadcast
+    values = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value_id")
+    values = values.select("value_id", features(F.col("value")).alias("grams"))
+    small = postings <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda x: x
+    weights = durable(_weights(entries, values, n, v))
+    # features held by the most entries; the bits of one number say which of them a text has
+    common = weights.where(F.col("held") > n / COMMON).orderBy(F.desc("held"), "gram").select("gram", "w").limit(BITS).collect()
+    place = spark.createDataFrame([(r[0], 1 << i) for i, r in enumerate(common)], "gram string, bit bigint")
+    weights = durable(weights.join(F.broadcast(place), "gram", "left"))
+    square, rare = F.col("w") * F.col("w"), F.col("bit").isNull()
+    mask = F.coalesce(F.bit_or("bit"), F.lit(0).cast("bigint"))
+    length = lambda x: F.sqrt(F.coalesce(F.sum(x), F.lit(0.0)))
+
+    rows = _each(entries, "entry_id").join(sent(weights), "gram")
+    known = rows.groupBy("entry_id").agg(length(square).alias("size"), length(F.when(~rare, square)).alias("common"), mask.alias("bits"))
+    known = durable(known.withColumn("common", F.col("common") / F.col("size")))
+    most = known.agg(F.max("common")).first()[0]
+    lists = rows.join(sent(known.select("entry_id", "size", "common")), "entry_id").select(
+        "gram", "entry_id", (F.col("w") / F.col("size")).alias("y"), F.when(~rare, F.col("common")).alias("y_common")
+    )
 
-def features(text: str) -> dict[str, int]:
-    """Counts of the n-grams of a plain text."""
-    out: dict[str, int] = {}
-    for word in text.split():
-        padded, bare = f"^{word}$", consonants(word)
-        grams = [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
-        grams += [f"~{bare[i : i + 2]}" for i in range(len(bare) - 1)]
-        for gram in grams:
-            out[gram] = out.get(gram, 0) + 1
+    weight = F.coalesce("w", F.lit(log(1 + n) ** 0.5))
+    probe = F.struct("gram", weight.alias("w"))
+    typed = _each(values, "value_id").join(sent(weights), "gram", "left").groupBy("value_id").agg(
+        length(weight * weight).alias("x_size"), length(F.when(~rare, square)).alias("x_common"), mask.alias("x_bits"),
+        F.collect_list(F.when(F.col("held").isNotNull() & rare, probe)).alias("rare"), F.collect_list(F.when(~rare, probe)).alias("often"),
+    )
+    typed = typed.withColumn("x_common", F.col("x_common") / F.col("x_size"))
+    could = F.col("x_common") * most >= least - SLACK
+    typed = typed.select("value_id", "x_size", "x_common", "x_bits", F.explode(F.when(could, F.concat("rare", "often")).otherwise(F.col("rare"))).alias("g"))
+    typed = typed.select("value_id", "x_size", "x_common", "x_bits", (F.col("g.w") / F.col("x_size")).alias("x"), F.col("g.gram").alias("x_gram"))
+    by_common = lambda y: F.col("x_common") * y >= least - SLACK
+    hits = typed.join(sent(lists), (F.col("x_gram") == F.col("gram")) & (F.col("y_common").isNull() | by_common(F.col("y_common"))))
+    dots = hits.groupBy("value_id", "entry_id", "x_size", "x_common", "x_bits").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    whole = by_common(F.col("common"))
+    pairs = dots.join(sent(known), "entry_id").where(F.col("dot") + F.when(whole, 0.0).otherwise(F.col("x_common") * F.col("common")) >= least - SLACK)
+    both = F.when(whole, 0.0).otherwise(_sum_of_bits(F.col("x_bits").bitwiseAND(F.col("bits")), [r[1] ** 2 for r in common]))
+    scored = pairs.select("value_id", "entry_id", (F.col("dot") + both / (F.col("x_size") * F.col("size"))).alias("cosine"))
+    return scored.where(F.col("cosine") >= least)
+
+
+def _sum_of_bits(bits: Column, worth: list[float]) -> Column:
+    """The sum of the worths of the bits that are set, by a table of the sums of each byte."""
+    out = F.lit(0.0)
+    for first in range(0, len(worth), 8):
+        own = worth[first : first + 8]
+        table = F.array(*[F.lit(float(sum(w for i, w in enumerate(own) if byte >> i & 1))) for byte in range(1 << len(own))])
+        out += F.get(table, F.shiftright(bits, first).bitwiseAND(F.lit(255)).cast("int"))
     return out
 
 
-def distance(a: str, b: str) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) between two words."""
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            least = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                least = min(least, older[j - 2] + 1)
-            row.append(least)
-    return row[-1]
-
-
-#: Judged pairs of words, kept up to KEEP of them in each worker.
-_JUDGED: dict[tuple[str, str], int | None] = {}
-KEEP = 300_000
-
-
-def _judge(typed: str, word: str) -> int | None:
-    if typed == word:
-        return 0
-    allowed = 1 if len(word) < 5 else 2 if len(word) < 9 else 3
-    if abs(len(typed) - len(word)) <= allowed and (d := distance(typed, word)) <= allowed:
-        return d
-    bare = consonants(word)
-    if len(bare) >= 3 and typed == bare:
-        return 1
-    if len(typed) >= 5 and len(word) - len(typed) >= 2 and word.startswith(typed):
-        return 1
-    return None
-
-
-def _errors(typed: str, word: str) -> int | None:
-    """Edits if `typed` may stand for `word`, else None."""
-    pair = (typed, word)
-    if pair not in _JUDGED:
-        if len(_JUDGED) >= KEEP:
-            _JUDGED.clear()
-        _JUDGED[pair] = _judge(typed, word)
-    return _JUDGED[pair]
-
-
-def _spread(words: list[str], wanted: tuple[str, ...], shared: tuple[str, ...]) -> int | None:
-    """Edits if the wanted words are typed in some order, each as a word of its own, beside at most one shared word."""
-    if not len(wanted) <= len(words) <= len(wanted) + 1:
-        return None
-    options = []
-    for word in wanted:
-        met = [(at, e) for at, typed in enumerate(words) if (e := _errors(typed, word)) is not None]
-        if not met:
-            return None
-        options.append(met)
-    best = None
-    for choice in product(*options):
-        places = {at for at, _ in choice}
-        if len(places) < len(wanted):
-            continue
-        cost = sum(e for _, e in choice)
-        rest = [typed for at, typed in enumerate(words) if at not in places]
-        if rest:
-            extra = [e for s in shared if (e := _errors(rest[0], s)) is not None]
-            if not extra:
-                continue
-            cost += min(extra)
-        best = cost if best is None else min(best, cost)
-    return best
-
-
-def fit(words: list[str], wanted: tuple[str, ...], shared: tuple[str, ...]) -> int | None:
-    """Edits by which the typed words stand for an entry of the wanted distinctive words, or None.
-
-    Blanks may be missing or misplaced: neighbouring words may be one, and a word may be divided once."""
-    cost = _spread(words, wanted, shared)
-    if cost is not None:
-        return cost
-    best = None
-    for i in range(len(words) - 1):  # a blank too many
-        cost = _spread([*words[:i], words[i] + words[i + 1], *words[i + 2 :]], wanted, shared)
-        if cost is not None:
-            best = cost + 1 if best is None else min(best, cost + 1)
-    for i, word in enumerate(words):  # a blank missing
-        for k in range(3, len(word) - 2):
-            cost = _spread([*words[:i], word[:k], word[k:], *words[i + 1 :]], wanted, shared)
-            if cost is not None:
-                best = cost + 1 if best is None else min(best, cost + 1)
-    return best
-
-
-def distinctive(entry: str, common: frozenset) -> tuple[str, ...]:
-    """The words of a plain entry that only few entries share; all of them if there are none."""
-    words = tuple(dict.fromkeys(entry.split()))
-    return tuple(w for w in words if w not in common) or words
-
-
-def shared_words(entries: DataFrame, share: float = SHARED) -> frozenset:
-    """Words in more than `share` of the plain texts (entry): never more than the mean words of an entry / share."""
-    n = entries.count()
+def _covered(value: Column, entry: Column, entries: DataFrame, cover: float) -> Column:
+    """Whether the value has enough features of every distinctive word of the entry, or of every word if none is."""
     words = entries.select(F.explode(F.array_distinct(F.split("entry", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return frozenset(r[0] for r in words.where(F.col("n") > max(share * n, 1)).collect())
-
-
-@F.pandas_udf(T.StringType())
-def plain_form(values: pd.Series) -> pd.Series:
-    """Plain text of a value, without fillers where anything else is left."""
-
-    def clean(x: str | None) -> str | None:
-        if x is None:
-            return None
-        words = plain(x).split()
-        return " ".join([w for w in words if w not in FILLERS] or words)
-
-    return values.map(clean)
-
-
-_GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("tf", T.IntegerType())]))
-
-
-@F.arrow_udf(_GRAMS)
-def _gram_lists(texts: pa.Array) -> pa.Array:
-    lists = [[{"gram": g, "tf": n} for g, n in features(x or "").items()] for x in texts.to_pylist()]
-    return pa.array(lists, pa.list_(pa.struct([("gram", pa.string()), ("tf", pa.int32())])))
-
-
-# else the optimiser would make the lists once more below the step that keeps each text once
-_gram_lists = _gram_lists.asNondeterministic()
-
-
-def _grams(texts: DataFrame, text: str) -> DataFrame:
-    """(text, gram, tf) of plain texts. The lists are partitioned by text before they are exploded, so sums by text
-    need no shuffle of the exploded rows."""
-    lists = texts.select(text, _gram_lists(text).alias("grams"))
-    lists = lists.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), text)
-    return lists.select(text, F.explode("grams").alias("g")).select(text, "g.*")
-
-
-def retrieve(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(value, entry, cosine) of all pairs of distinct plain texts that reach the threshold.
-
-    The posting lists of a short list are broadcast by Spark itself, whose limit checks their size: then only the
-    gram lists of the distinct values are shuffled, not what they hit. Those of a long list are
-    joined by gram in a shuffle, where adaptive execution splits a gram that many values hold."""
-    spread = _grams(entries, "entry")
-    n = entries.count()
-    weight = F.ln(1.0 + F.lit(float(n)) / F.col("held"))
-    idf = spread.groupBy("gram").agg(F.count("*").alias("held")).select("gram", weight.alias("idf"))
-    postings = spread.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = postings.groupBy("entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
-    hit = F.struct("entry", (F.col("w") / F.col("entry_norm")).alias("w"))
-    lists = postings.join(norms, "entry").groupBy("gram", "idf").agg(F.collect_list(hit).alias("list"))
-    # a null entry in every list adds up the value's own norm; a gram that no entry holds counts there as if one did
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("entry"), F.lit(0.0).alias("w")))
-    own = F.col("tf") * F.coalesce("idf", F.lit(log(1.0 + max(n, 1))))
-    hits = _grams(values, "value").join(lists, "gram", "left")
-    hits = hits.select("value", own.alias("own"), F.explode(F.concat(itself, F.coalesce("list", F.array().cast("array<struct<entry:string,w:double>>")))).alias("hit"))
-    share = F.col("own") * F.when(F.col("hit.entry").isNull(), F.col("own")).otherwise(F.col("hit.w"))
-    dots = hits.groupBy("value", F.col("hit.entry").alias("entry")).agg(F.sum(share).alias("dot"))
-    norm = F.sqrt(F.max(F.when(F.col("entry").isNull(), F.col("dot"))).over(Window.partitionBy("value")))
-    scored = dots.select("value", "entry", (F.col("dot") / norm).alias("cosine"))
-    return scored.where(F.col("entry").isNotNull() & (F.col("cosine") >= threshold))
+    # at most SHARED times the words of a mean entry
+    shared = [r[0] for r in words.where(F.col("n") > max(entries.count() / SHARED, 1)).collect()]
+    own = F.split(entry, " ")
+    distinctive = F.filter(own, lambda w: ~w.isin(shared)) if shared else own
+    enough = lambda w: F.size(F.array_intersect(features(w), features(value))) >= cover * F.size(features(w))
+    return F.forall(F.when(F.size(distinctive) > 0, distinctive).otherwise(own), enough)
 
 
 def map_values(
-    values: DataFrame, key: str, value: str, entries: DataFrame, entry_key: str, entry_name: str, threshold: float = THRESHOLD, margin: float = MARGIN
-) -> DataFrame:
+    values: DataFrame, key: str, value: str, entries: DataFrame, entry_key: str, entry_name: str,
+    threshold: float = THRESHOLD, margin: float = MARGIN, cover: float = 0.0,
+) -> DataFrame:
     """(key, entry_key, cosine): the entry each value means, or UNMATCHED and null."""
-    typed = values.where(F.col(value).rlike(r"(?U)\S")).select(F.col(key).alias("id"), plain_form(value).alias("value"))
-    known = entries.select(F.col(entry_key).alias("entry_id"), plain_form(entry_name).alias("entry")).where(F.col("entry") != "")
-    known = known.groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
-    texts = typed.select("value").where(F.col("value") != "").distinct()
-    listed = known.select("entry")
-    common = shared_words(listed)
-    shared = tuple(sorted(common)) + tuple(s for w in sorted(common) for s in SYNONYMS.get(w, ()))
-
-    @F.pandas_udf(T.IntegerType())
-    def errors(value: pd.Series, entry: pd.Series) -> pd.Series:
-        return pd.Series([fit(v.split(), distinctive(e, common), shared) for v, e in zip(value, entry)], dtype="Int32")
-
-    # else the optimiser would check words below the aggregation, once for each gram in common
-    errors = errors.asNondeterministic()
-    passed = retrieve(texts, listed, threshold).withColumn("errors", errors("value", "entry")).where(F.col("errors").isNotNull())
-    ranked = passed.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("errors", -F.col("cosine"), "entry"))).alias("r"))
-    first, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
-    clear = second.isNull() | (second["errors"] > first["errors"]) | (second["col2"] - first["col2"] >= margin)
-    chosen = ranked.where(clear).select("value", first["entry"].alias("entry"), (-first["col2"]).alias("cosine"))
-    chosen = chosen.join(known, "entry").select("value", "entry_id", "cosine")
+    typed = durable(values.where(F.col(value).rlike(r"(?U)\S")).select(F.col(key).alias("id"), plain_form(value).alias("value")))
+    listed = entries.select(F.col(entry_key).alias("entry_id"), plain_form(entry_name).alias("entry"))
+    listed = listed.where((F.col("entry") != "") & F.col("entry_id").isNotNull()).groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
+    listed = durable(listed)
+    texts = durable(typed.select("value").where(F.col("value") != "").distinct().withColumn("value_id", F.monotonically_increasing_id()))
+    # a second entry below threshold - margin is no rival to one that is accepted
+    scored = retrieve(texts, listed, max(threshold - margin, 1e-9))
+    order = Window.partitionBy("value_id").orderBy(F.desc("cosine"), "entry_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
+    first = F.max_by(F.struct("entry_id", "cosine"), F.col("cosine") - F.col("rank"))
+    ranked = best.groupBy("value_id").agg(first.alias("best"), F.max(F.when(F.col("rank") == 2, F.col("cosine"))).alias("next"))
+    clear = (F.col("best.cosine") >= threshold) & (F.col("next").isNull() | (F.col("best.cosine") - F.col("next") >= margin))
+    chosen = ranked.where(clear).select("value_id", "best.entry_id", "best.cosine").join(texts, "value_id").join(listed, "entry_id")
+    if cover > 0:
+        chosen = chosen.where(_covered(F.col("value"), F.col("entry"), listed, cover))
+    chosen = chosen.select("value", "entry_id", "cosine")
     kind = entries.schema[entry_key].dataType
     return typed.join(chosen, "value", "left").select(
         F.col("id").alias(key), F.coalesce("entry_id", F.lit(UNMATCHED).cast(kind)).alias(entry_key), "cosine"

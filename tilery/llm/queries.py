@@ -14,6 +14,8 @@ from tilery.plans.session import table
 
 #: Two sets of aliases agree if this share of their elements is common; smaller sets are not compared.
 ALIAS_SHARE, ALIAS_LEAST = Fraction(3, 5), 3
+#: An input means an item only if it has this share of the features of every distinctive word of its name.
+AS_SUCH = 0.25
 
 
 def _live(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -31,7 +33,7 @@ def _weights(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups = table(spark, sf_dir, "test_cases").where(F.col("kind") == "lookup").select("case_id", "input")
     catalog = table(spark, sf_dir, "catalog_items")
-    return mapping.map_values(lookups, "case_id", "input", catalog, "pid", "name")
+    return mapping.map_values(lookups, "case_id", "input", catalog, "pid", "name", cover=AS_SUCH)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +193,44 @@ marked AS (SELECT field, term, occurrences, records,
   CASE WHEN records <= 2 THEN 'rare' WHEN records > n * CAST(0.1 AS DOUBLE) THEN 'common' END AS mark FROM counts JOIN totals USING (field))
 """
 
+def _plain_sql(x: str) -> str:
+    base = f"lower(strip_accents(translate({x}, '{_WIDE}', '{_PLAIN}')))"
+    return r"trim(regexp_replace(" + base + r", '[^\p{L}\p{N}]+', ' ', 'g'))"
+
+
+def _grams_sql(x: str) -> str:
+    """The distinct features of a plain text."""
+    cut = lambda w, n: f"[g for g in list_transform(range(1, len({w}) - {n - 2}), lambda i: {w}[i:i + {n - 1}]) if NOT contains(g, ' ')]"
+    marked = f"('^' || replace({x}, ' ', '$ ^') || '$')"
+    bare = f"array_to_string(list_transform(string_split({x}, ' '), lambda w: w[1] || regexp_replace(w[2:], '[aeiou]', '', 'g')), ' ')"
+    tilde = lambda n: f"list_transform({cut(bare, n)}, lambda g: '~' || g)"
+    return f"list_distinct(list_concat(list_concat({cut(marked, 2)}, {cut(marked, 3)}), list_concat({tilde(2)}, {tilde(3)})))"
+
+
+# full cosines of all pairs, the best and the second best entry, the words of the chosen one
+_MAPPED = f"""
+WITH asked AS (SELECT case_id, {_plain_sql('input')} AS value FROM test_cases WHERE kind = 'lookup' AND trim(input) <> ''),
+entries AS (SELECT {_plain_sql('name')} AS entry, min(pid) AS pid FROM catalog_items GROUP BY 1),
+vals AS (SELECT DISTINCT value FROM asked WHERE value <> ''),
+vg AS (SELECT value, unnest({_grams_sql('value')}) AS gram FROM vals),
+eg AS (SELECT pid, unnest({_grams_sql('entry')}) AS gram FROM entries),
+sizes AS (SELECT (SELECT count(*) FROM entries) AS n, (SELECT count(*) FROM vals) AS v),
+held AS (SELECT gram, count(*) AS held FROM eg GROUP BY 1), seen AS (SELECT gram, count(*) AS seen FROM vg GROUP BY 1),
+w AS (SELECT coalesce(held.gram, seen.gram) AS gram, sqrt(least(ln(1 + n / CAST(coalesce(held, 1) AS DOUBLE)), ln(1 + (v + n) / CAST(coalesce(seen, 1) AS DOUBLE)))) AS w
+  FROM held FULL JOIN seen ON held.gram = seen.gram, sizes),
+x AS (SELECT value, gram, w / sqrt(sum(w * w) OVER (PARTITION BY value)) AS x FROM vg JOIN w USING (gram)),
+y AS (SELECT pid, gram, w / sqrt(sum(w * w) OVER (PARTITION BY pid)) AS y FROM eg JOIN w USING (gram)),
+cosines AS (SELECT value, pid, sum(x * y) AS c FROM x JOIN y USING (gram) GROUP BY ALL),
+ranked AS (SELECT value, pid, c, coalesce(lead(c) OVER (PARTITION BY value ORDER BY c DESC), 0) AS nxt, row_number() OVER (PARTITION BY value ORDER BY c DESC) AS r FROM cosines),
+chosen AS (SELECT value, pid FROM ranked WHERE r = 1 AND c >= 0.3 AND c - nxt >= 0.06),
+entry_words AS (SELECT pid, entry, unnest(list_distinct(string_split(entry, ' '))) AS word FROM entries),
+words AS (SELECT word, count(*) > greatest((SELECT n FROM sizes) / 4.0, 1) AS shared FROM entry_words GROUP BY 1),
+own AS (SELECT pid, word, shared, bool_and(shared) OVER (PARTITION BY pid) AS only_shared FROM entry_words JOIN words USING (word)),
+wanted AS (SELECT pid, {_grams_sql('word')} AS g FROM own WHERE only_shared OR NOT shared),
+covered AS (SELECT value, pid FROM chosen JOIN wanted USING (pid) GROUP BY ALL HAVING bool_and(len(list_intersect(g, {_grams_sql('value')})) >= 0.25 * len(g))),
+mapped AS (SELECT case_id, value, coalesce(pid, -1) AS pid FROM asked LEFT JOIN covered USING (value))
+"""
+
 _WORDS = """
 WITH doc_words AS (SELECT doc_id AS id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 item_words AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),
@@ -200,6 +240,8 @@ met AS (SELECT doc_id, item_id, count(*) AS runs FROM doc_runs JOIN item_runs US
 """
 
 ORACLE = {
+    "p1_found": _MAPPED + "SELECT case_id, pid FROM mapped",
+    "p1_unmatched": _MAPPED + "SELECT value AS input_form, count(*) AS cases FROM mapped WHERE pid = -1 GROUP BY 1",
     "p2_found": _ITEM_TERMS + "SELECT item_key, term FROM tf JOIN st USING (term) WHERE records BETWEEN 2 AND 6",
     "p2_weights": _ITEM_TERMS
     + """SELECT item_key, term, tf, records, round(ln(1 + tf) * greatest(0, 1 - (ln(occ) - spread / occ) / ln((SELECT count(*) FROM live))), 6) AS weight

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilery.functions.text import alias_forms, item_terms, name_form
-from tilery.llm.frequency import mark_terms, term_frequency
+from tilery.llm.frequency import mark_terms, sum_ranges, term_frequency
 from tilery.llm.weights import log_entropy
 
 RECORDS = {1: ["a", "a", "b"], 2: ["a", "c"], 3: ["a", "b", "b"], 4: [], 5: ["d"]}
@@ -67,8 +67,8 @@ def test_counts(spark):
     counts = term_frequency(frame, {"f": True, "g": False})
     got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in counts.collect()}
     assert got == {("f", "a"): (6, 3), ("f", "b"): (9, 6), ("g", "exact"): (3, 3), ("g", "a"): (3, 3)}
-    ids = [r["term_id"] for r in counts.collect()]
-    assert len(set(ids)) == len(ids)
+    # one identifier a term, dense and in the order of the terms
+    assert {(r["term"], r["term_id"]) for r in counts.collect()} == {("a", 0), ("b", 1), ("exact", 2)}
     totals = frame.groupBy("field").agg(F.count("*").alias("n_records"))
     marks = {(r["field"], r["term"]): r["mark"] for r in mark_terms(counts, totals, rare=3, common_share=0.5).collect()}
     assert marks == {("f", "a"): "rare", ("f", "b"): "common", ("g", "exact"): "rare", ("g", "a"): "rare"}
@@ -85,5 +85,17 @@ def test_counts_over_batches(spark):
     assert got == {k: (v, v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_sums_by_range(spark, width):
+    rows = [(i % 2, (i * 7) % 50, i, 1) for i in range(400)]
+    frame = spark.createDataFrame(rows, "field int, term_id long, occurrences long, records long").where("occurrences > 0").repartition(5)
+    want = defaultdict(lambda: [0, 0])
+    for f, t, o, r in rows[1:]:
+        want["xy"[f], t][0] += o
+        want["xy"[f], t][1] += r
+    got = {(r[0], r[1]): [r[2], r[3]] for r in sum_ranges(frame, ["x", "y"], 50, width).collect()}
+    assert got == dict(want)
+
+
 def test_counts_empty(spark):
     assert term_frequency(spark.createDataFrame([], "field string, texts array<string>"), {"f": True}).count() == 0

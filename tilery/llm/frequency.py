@@ -1,14 +1,13 @@
-"""Frequency of every distinct term: blockwise count arrays, summed by the owner of each term.
+"""Frequency of every distinct term: a global dictionary, blockwise count arrays, sums by range of identifiers.
 
-A block (one Arrow batch of records) is encoded against its own dictionary and counted into two arrays,
-occurrences and records holding the term. One shuffle brings the term strings and counts to the owner of their
-hash; the owner reads them in order of the term, sums the counts of the blocks and gives each distinct term an
-integer identifier in a range of its own. Nothing is encoded by these identifiers: a global dictionary before
-the sums would need a shuffle of the same strings. Memory is bounded by a batch on either side, and a term that
-all records hold arrives once per block only.
+A block (one Arrow batch of records) is encoded against its own dictionary and counted into two arrays, occurrences and
+records holding the term. The dictionaries of all blocks make the global one: distinct terms, numbered densely
+in their order. By it the blocks are encoded with global identifiers, and their arrays are summed by range of identifiers: the
+owner of a range adds all blocks to two arrays of the range's width. Memory is bounded by a batch on one side and by the
+width of a range on the other, and a term that all records hold arrives once per block only.
 
 Defined cases: a null list or text is a record without terms unless the caller leaves it out; null and blank
-elements hold no terms; repeats count as occurrences, not as records; an empty table gives an empty table.
+elements hold no terms; repeats count as occurrences, not as records; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilery.functions.text import flat, normalise
+from tilery.operators.numbering import number_rows
+from tilery.plans.session import durable
 
-#: Bits of an identifier below those that name its range.
-RANGE_BITS = 40
+#: Most identifiers of a range.
+WIDTH = 1 << 20
 
 _COUNTS = "field string, term string, occurrences bigint, records bigint"
 
@@ -43,12 +43,8 @@ def _count_block(lists: pa.Array, matcher: bool) -> tuple[pa.Array, np.ndarray,
     return coded.dictionary, np.bincount(codes, minlength=size), np.bincount(held % max(size, 1), minlength=size)
 
 
-def term_frequency(texts: DataFrame, matchers: dict[str, bool]) -> DataFrame:
-    """(field, term_id, term, occurrences, records) of a table (field, texts array<string>), one row a record.
-
-    `matchers` says of each field whether a leading matcher is cut off its texts; fields it doesn't name
-    aren't counted.
-    """
+def count_blocks(texts: DataFrame, matchers: dict[str, bool]) -> DataFrame:
+    """(field, term, occurrences, records): the dictionary of every block with its two count arrays."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,51 +59,51 @@ def term_frequency(texts: DataFrame, matchers: dict[str, bool]) -> DataFrame:
                         names=["field", "term", "occurrences", "records"],
                     )
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rank, open_run = TaskContext.get().partitionId() << RANGE_BITS, 0, None
-
-        def rows(runs: list[tuple]) -> pa.RecordBatch:
-            nonlocal rank
-            field, term, occurrences, records = zip(*runs)
-            ids = np.arange(base + rank, base + rank + len(runs))
-            rank += len(runs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(field, pa.string()), pa.array(ids), pa.array(term, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())],
-                names=["field", "term_id", "term", "occurrences", "records"],
-            )
+    return texts.select("field", "texts").mapInArrow(blocks, _COUNTS)
+
+
+def sum_ranges(encoded: DataFrame, fields: list[str], size: int, width: int = WIDTH) -> DataFrame:
+    """(field, term_id, occurrences, records) of encoded blocks (field number, term_id, occurrences, records), summed by
+    ranges of identifiers below `size`: the owner of a range adds the blocks to two arrays as wide as the range."""
+    tasks = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(min(tasks, size), -(-size // width), 1)
+    width = max(-(-size // ranges), 1)
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(fields), width), np.int64)
+        base = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            field, term = batch.column("field"), batch.column("term")
-            new = np.ones(batch.num_rows, dtype=bool)
-            if batch.num_rows > 1:
-                differs = pc.or_(pc.not_equal(field[1:], field[:-1]), pc.not_equal(term[1:], term[:-1]))
-                new[1:] = np.asarray(differs)
-            first = np.flatnonzero(new)
-            at = pa.array(first)
-            runs = list(
-                zip(
-                    field.take(at).to_pylist(),
-                    term.take(at).to_pylist(),
-                    np.add.reduceat(np.asarray(batch.column("occurrences")), first).tolist(),
-                    np.add.reduceat(np.asarray(batch.column("records")), first).tolist(),
-                )
+            ids = np.asarray(batch.column("term_id"))
+            base = int(ids[0]) // width * width if base is None else base
+            at = (np.asarray(batch.column("field")), ids - base)
+            for own, name in zip(sums, ("occurrences", "records")):
+                np.add.at(own, at, np.asarray(batch.column(name)))
+        if base is not None:
+            number, at = np.nonzero(sums[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fields, pa.string()).take(pa.array(number)), pa.array(at + base), pa.array(sums[0][number, at]), pa.array(sums[1][number, at])],
+                names=["field", "term_id", "occurrences", "records"],
             )
-            if open_run is not None:
-                if open_run[:2] == runs[0][:2]:
-                    runs[0] = (*open_run[:2], open_run[2] + runs[0][2], open_run[3] + runs[0][3])
-                else:
-                    runs.insert(0, open_run)
-            open_run = runs.pop()
-            if runs:
-                yield rows(runs)
-        if open_run is not None:
-            yield rows([open_run])
-
-    counts = texts.select("field", "texts").mapInArrow(blocks, _COUNTS)
-    owned = counts.repartition("field", "term").sortWithinPartitions("field", "term")
-    return owned.mapInArrow(ranges, "field string, term_id bigint, term string, occurrences bigint, records bigint")
+
+    # a partition is a range: the partition's number is that of the range
+    owned = encoded.repartitionById(ranges, (F.col("term_id") / width).cast("int"))
+    return owned.mapInArrow(add, "field string, term_id bigint, occurrences bigint, records bigint")
+
+
+def term_frequency(texts: DataFrame, matchers: dict[str, bool]) -> DataFrame:
+    """(field, term_id, term, occurrences, records) of a table (field, texts array<string>), one row a record.
+
+    `matchers` says of each field whether a leading matcher is cut off its texts; fields it doesn't name
+    aren't counted. Identifiers are 0, 1, ... in the order of the terms of all counted fields.
+    """
+    fields = list(matchers)
+    counts = durable(count_blocks(texts, matchers))
+    terms = durable(number_rows(counts.select("term").distinct(), ["term"], "term_id"))
+    number = F.array_position(F.array(*map(F.lit, fields)), F.col("field")) - 1
+    encoded = counts.join(terms, "term").select(number.cast("int").alias("field"), "term_id", "occurrences", "records")
+    return sum_ranges(encoded, fields, terms.count()).join(terms, "term_id").select("field", "term_id", "term", "occurrences", "records")
 
 
 def mark_terms(counts: DataFrame, totals: DataFrame, rare: int = 2, common_share: float = 0.1) -> DataFrame:

@@ -85,8 +85,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, term, occurrences, records, mark) of every term."""
-    return _marked(spark, sf_dir).drop("term_id")
+    """(field, term_id, term, occurrences, records, mark) of every term; identifiers are dense, in the order of the terms."""
+    return _marked(spark, sf_dir)
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,5 +255,5 @@ ORACLE = {
 WITH sized AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),
 named AS (SELECT t.source, weight, max_repeats, coalesce(n, 0) AS n FROM mix_targets t LEFT JOIN sized USING (source))
 SELECT source FROM named WHERE n * max_repeats < weight * (SELECT sum(n) FROM named)""",
-    "p5_counts": _COUNTED + "SELECT field, term, occurrences, records, mark FROM marked",
+    "p5_counts": _COUNTED + "SELECT field, dense_rank() OVER (ORDER BY term) - 1 AS term_id, term, occurrences, records, mark FROM marked",
 }

@@ -104,20 +104,20 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("runs").alias("longest"))
 
 
-def _mix(spark: SparkSession, sf_dir: str, soft: bool) -> mixing.Mix:
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     documents, targets = table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "mix_targets")
-    return mixing.mix_sources(documents, targets, "doc_id", "text", "source", soft=soft)
+    return mixing.mix_sources(documents, targets, "doc_id", "text", "source")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source): targets that stay below their share with every document repeated as often as allowed. Only
-    documents with a listed source are in the mix, so every membership is certain."""
-    return _mix(spark, sf_dir, soft=False).report.where("short").select("source")
+    """(source): targets that stay below their share of a mix as large as all documents with a listed source, with every
+    document repeated as often as allowed; documents of other sources are soft members by the classifier's posteriors."""
+    return _mix(spark, sf_dir).report.where("short").select("source")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached with documents of unlisted sources as soft members."""
-    return mixing.reached_shares(_mix(spark, sf_dir, soft=True), "source")
+    """(source, weight, target, expected, reached, reached_share): the shares reached by the mix."""
+    return mixing.reached_shares(_mix(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Evaluation texts leaking into training text: BM25 index of the test items, searched by block-max WAND.
 
-The test items, a table of fixed size, are the indexed side. Every document is read whole, as overlapping
-passages of PASSAGE words whose overlap of RUN - 1 words keeps any run of RUN words in one passage. A passage is a query; the
-index returns all items whose BM25 score reaches the item's threshold, which is the least score that RUN
-consecutive words of the item can have. So no item that shares such a run with the passage can be missed.
-What is retrieved is then verified: a run of RUN words of the item must stand in the passage.
+The test items are the indexed side. Every document is read whole, as overlapping passages of PASSAGE words whose
+overlap of RUN - 1 words keeps any run of RUN words in one passage. A passage is a query; the index returns all items
+whose BM25 score reaches the item's threshold, which is the least score that RUN consecutive words of the item can
+have. So no item that shares such a run with the passage can be missed. What is retrieved is then verified: a
+run of RUN words of the item must stand in the passage, word by word. Of an item that holds a question and an answer (behind a
+line that begins with one of ANSWERS) it is also verified what leaked: how many words of the question stand in shared
+runs, and whether the document has the answer, all its words in order.
+
+An index has at most MAX_ITEM_CHARS characters of items, or a single larger item. Items of any number are packed into
+such parts as they come; all parts pass by the same buffered documents, which are read once.
 
 Defined cases: null and empty texts leak nothing; items shorter than RUN words can't be leaked; repeated items
 and documents are each reported; an empty table gives no rows; columns other than key and text are ignored.
@@ -13,26 +18,25 @@ and documents are each reported; an empty table gives no rows; columns other tha
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+import re
 from collections.abc import Iterator
-from functools import reduce
-from math import log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilery.functions.text import flat
 
 RUN, PASSAGE, BLOCK = 13, 64, 16
-#: An index is built on the driver and broadcast; items of more characters than this are searched in parts.
-MAX_ITEM_CHARS = 8_000_000
-#: Parts of items that are too large are split again at most so often.
-MAX_SPLITS = 8
+#: What begins the answer of an item.
+ANSWERS = ("answer", "solution", "example")
+#: Characters of items in one index, which is made on the driver and broadcast; and of documents that wait for all indexes.
+MAX_ITEM_CHARS, MAX_WAITING = 8_000_000, 32_000_000
 _K1, _B = 1.2, 0.75
+_ANSWER = re.compile(rf"^[^\S\n]*(?:{'|'.join(ANSWERS)})[^\S\n]*:", re.I | re.M)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -44,43 +48,92 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 class ItemIndex:
-    """Posting lists of impacts with the maxima of their blocks, item thresholds, and the runs to verify.
+    """Posting lists of impacts with the maxima of their blocks, item thresholds, and the words to verify.
 
     An impact is the BM25 weight of a word in an item divided by the item's threshold, so a passage retrieves
     an item where the impacts of their common words sum to 1 or more.
     """
 
     def __init__(self, keys: list, texts: list[str], run: int = RUN, block: int = BLOCK, kind: str = "bigint"):
-        self.run, self.kind = run, kind
-        words, row = words_of(pa.array(texts, pa.string()))
+        self.run, self.kind, self.block = run, kind, block
+        cut = [m.end() if (m := _ANSWER.search(t)) else len(t) for t in texts]
+        # the words before an answer, then those of the answer: their places say which are which
+        parts = [x for t, at in zip(texts, cut) for x in (t[:at], t[at:])]
+        words, part = words_of(pa.array(parts, pa.string()))
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
-        codes, rows = np.asarray(coded.indices), np.asarray(row)
-        items = [codes[rows == i] for i in range(len(keys))]
-        long_enough = [i for i, x in enumerate(items) if len(x) >= run]
-        self.keys = [keys[i] for i in long_enough]
-        items = [items[i].tolist() for i in long_enough]
-        spread = Counter(w for x in items for w in set(x))
-        mean = sum(map(len, items)) / max(len(items), 1)
-        postings = defaultdict(list)
-        self.runs: list[frozenset] = []
-        self.questions: list[set] = []
-        for at, x in enumerate(items):
-            tf = Counter(x)
-            weight = {
-                w: log(1 + (len(items) - spread[w] + 0.5) / (spread[w] + 0.5)) * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * len(x) / mean))
-                for w, n in tf.items()
-            }
-            windows = [x[i : i + run] for i in range(len(x) - run + 1)]
-            least = min(sum(weight[w] for w in set(window)) for window in windows)
-            for w, v in weight.items():
-                postings[w].append((at, v / least * (1 + 1e-9)))
-            self.runs.append(frozenset(np.array(window, np.int32).tobytes() for window in windows))
-        self.items = [[at for at, _ in postings[w]] for w in range(len(self.vocabulary))]
-        self.impacts = [[v for _, v in postings[w]] for w in range(len(self.vocabulary))]
-        self.tops = np.array([max(v, default=0.0) for v in self.impacts] + [0.0])
-        self.block = block
-        self.block_tops = [[max(v[i : i + block]) for i in range(0, len(v), block)] for v in self.impacts]
+        codes, item = np.asarray(coded.indices).astype(np.int64), np.asarray(part).astype(np.int64) // 2
+        length = np.bincount(item, minlength=len(keys))
+        kept = length >= run
+        answers = np.bincount(np.asarray(part)[np.asarray(part) % 2 == 1] // 2, minlength=len(keys))[kept]
+        codes, item = codes[kept[item]], (np.cumsum(kept) - 1)[item[kept[item]]]
+        self.keys, length = [k for k, keep in zip(keys, kept) if keep], length[kept]
+        self.codes, self.first = codes.astype(np.int32), np.append(0, np.cumsum(length))
+        self.answer = self.first[1:] - answers
+        size, n = max(len(self.vocabulary), 1), len(self.keys)
+
+        held, own, tf = np.unique(item * size + codes, return_inverse=True, return_counts=True)
+        word, holder = held % size, held // size
+        spread = np.bincount(word, minlength=size)[word]
+        mean = length.mean() if n else 1.0
+        weight = np.log(1 + (n - spread + 0.5) / (spread + 0.5)) * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length[holder] / mean))
+        # the least score of a window: a word counts where it stands first in it
+        before = np.full(len(codes), -1)
+        order = np.argsort(own, kind="stable")
+        again = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+        before[order[again + 1]] = order[again]
+        start = np.flatnonzero(np.arange(len(codes)) + run <= self.first[1:][item])
+        score = np.zeros(len(start))
+        for i in range(run):
+            score += weight[own[start + i]] * (before[start + i] < start)
+        windows = np.append(0, np.cumsum(length - run + 1))[:-1]
+        least = np.minimum.reduceat(score, windows) if n else score
+        impact = weight / least[holder] * (1 + 1e-9)
+
+        order = np.lexsort((holder, word))
+        self._items, self._impacts, self._lists = holder[order], impact[order], np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        self.tops = np.zeros(len(self.vocabulary) + 1)
+        np.maximum.at(self.tops, word, impact)
+        self.runs, self.places = self._sorted_runs(item[start] if n else start, start)
+        self._known: dict[int, tuple[list, list, list]] = {}
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """A hash of every run of the codes."""
+        count = max(len(codes) - self.run + 1, 0)
+        out = np.zeros(count, np.uint64)
+        for i in range(self.run):
+            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[i : i + count].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return out
+
+    def _sorted_runs(self, item: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each item the hashes of its runs in order, and where they stand."""
+        hashes = self.hashes(self.codes)[start] if len(start) else np.zeros(0, np.uint64)
+        order = np.lexsort((start, hashes, item))
+        cuts = np.searchsorted(item[order], np.arange(1, len(self.keys)))
+        return np.split(hashes[order], cuts), np.split(start[order], cuts)
+
+    def lists(self, word: int) -> tuple[list[int], list[float], list[float]]:
+        """Items, impacts and block maxima of a word."""
+        if word not in self._known:
+            own = slice(self._lists[word], self._lists[word + 1])
+            impacts = self._impacts[own]
+            tops = np.maximum.reduceat(impacts, np.arange(0, len(impacts), self.block)) if len(impacts) else impacts
+            self._known[word] = (self._items[own].tolist(), impacts.tolist(), tops.tolist())
+        return self._known[word]
+
+    def met(self, passage: np.ndarray, hashes: np.ndarray, whole: np.ndarray, item: int) -> list[tuple[int, int]]:
+        """(place in the passage, place in the index) of the runs of an item in a passage; `whole` are the places
+        of runs without unknown words. Hashes find them, the words decide."""
+        runs, places = self.runs[item], self.places[item]
+        at = np.searchsorted(runs, hashes[whole])
+        out = []
+        for i, k in zip(whole.tolist(), at.tolist()):
+            while k < len(runs) and runs[k] == hashes[i]:
+                if (self.codes[places[k] : places[k] + self.run] == passage[i : i + self.run]).all():
+                    out.append((i, int(places[k])))
+                    break
+                k += 1
+        return out
 
     def search(self, query: list[int]) -> list[int]:
         """Items that the distinct words of the query retrieve: block-max WAND with the fixed threshold 1.
@@ -88,7 +141,8 @@ class ItemIndex:
         Lists stand in the order of their current item. The pivot is the first item at which the upper bounds of the
         lists before it reach 1; if the maxima of the current blocks can't, the lists skip beyond those blocks.
         """
-        items, impacts, size = self.items, self.impacts, self.block
+        size = self.block
+        items, impacts, block_tops = ({w: self.lists(w)[i] for w in query} for i in range(3))
         live = sorted([items[w][0], w, 0] for w in query if items[w])
         found = []
         while live:
@@ -106,10 +160,10 @@ class ItemIndex:
             block_bound, end = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else 1 << 60
             for item, w, at in live[: pivot + 1]:
                 own, k = items[w], at // size
-                while k < len(self.block_tops[w]) and own[min((k + 1) * size, len(own)) - 1] < target:
+                while k < len(block_tops[w]) and own[min((k + 1) * size, len(own)) - 1] < target:
                     k += 1
-                if k < len(self.block_tops[w]):
-                    block_bound += self.block_tops[w][k]
+                if k < len(block_tops[w]):
+                    block_bound += block_tops[w][k]
                     end = min(end, own[min((k + 1) * size, len(own)) - 1] + 1)
             if block_bound < 1:
                 advance = max(end, target + 1)
@@ -132,38 +186,41 @@ class ItemIndex:
         return found
 
 
-def _size(items: DataFrame, text: str) -> int:
-    return items.agg(F.sum(F.length(text))).first()[0] or 0
-
+def item_indexes(items: DataFrame, key: str, text: str, most: int | None = None, run: int = RUN, block: int = BLOCK) -> Iterator[ItemIndex]:
+    """Indexes of at most `most` characters that together hold all items, filled in the order in which these come; an
+    item above the limit has one of its own. The driver holds one part at a time."""
+    most, kind = MAX_ITEM_CHARS if most is None else most, items.schema[key].dataType.simpleString()
+    keys, texts, size, made = [], [], 0, False
+    for own, said in items.select(key, text).where(F.col(text).isNotNull()).toLocalIterator():
+        if keys and size + len(said) > most:
+            yield ItemIndex(keys, texts, run, block, kind)
+            keys, texts, size, made = [], [], 0, True
+        keys.append(own)
+        texts.append(said)
+        size += len(said)
+    if keys or not made:
+        yield ItemIndex(keys, texts, run, block, kind)
 
-def build_index(items: DataFrame, key: str, text: str, run: int = RUN, block: int = BLOCK, most: int | None = None) -> ItemIndex:
-    """Index of a table of items that is checked to be small enough for one machine."""
-    size, most = _size(items, text), MAX_ITEM_CHARS if most is None else most
-    if size > most:
-        raise ValueError(f"{size} characters of items; an index takes {most}: search_leaks splits them")
-    rows = items.select(key, text).where(F.col(text).isNotNull()).collect()
-    return ItemIndex([r[0] for r in rows], [r[1] for r in rows], run, block, items.schema[key].dataType.simpleString())
 
-
-def _shares(texts: pa.Array, index: ItemIndex, passage: int) -> Iterator[tuple[int, int, int]]:
-    """(row, item, runs in common) of the texts of a batch."""
+def _shares(words: pa.Array, rows: np.ndarray, index: ItemIndex, passage: int) -> Iterator[tuple[int, int, int, int, bool | None]]:
+    """(row, item, runs in common, words of the question in them, whether the answer stands in the text) of the words of
+    a batch of texts and the row of each."""
     run = index.run
-    words, row = words_of(texts)
     if not len(words):
         return
     codes = np.asarray(pc.fill_null(pc.index_in(words, value_set=index.vocabulary.cast(words.type)), -1)).astype(np.int32)
-    rows = np.asarray(row)
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     last = np.append(first[1:], len(rows))
     step = passage - run + 1
     counts = np.maximum(1, -(-(last - first - run + 1) // step))
+    text = np.repeat(np.arange(len(first)), counts)
     start = np.repeat(first, counts) + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-    stop = np.minimum(start + passage, np.repeat(last, counts))
+    stop = np.minimum(start + passage, last[text])
     # the upper bound of a passage over all items, repeats included: below 1 WAND would find no pivot
     sums = np.append(0.0, np.cumsum(index.tops[codes]))
     known = np.append(0, np.cumsum(codes >= 0))
     hopeful = np.flatnonzero((sums[stop] - sums[start] >= 1 - 1e-6) & (known[stop] - known[start] >= run))
-    found: dict[tuple[int, int], set] = {}
+    found: dict[tuple[int, int], dict[int, int]] = {}
     for p in hopeful.tolist():
         own = codes[start[p] : stop[p]]
         inside = own >= 0
@@ -177,63 +234,83 @@ def _shares(texts: pa.Array, index: ItemIndex, passage: int) -> Iterator[tuple[i
         retrieved = index.search(query.tolist())
         if not retrieved:
             continue
-        windows = [(i, own[i : i + run].tobytes()) for i in whole.tolist()]
+        hashes = index.hashes(own)
         for item in retrieved:
-            runs = index.runs[item]
-            met = [int(start[p]) + i for i, w in windows if w in runs]
-            if met:
-                found.setdefault((int(rows[start[p]]), item), set()).update(met)
-    for (r, item), met in found.items():
-        yield r, item, len(met)
+            for i, place in index.met(own, hashes, whole, item):
+                found.setdefault((int(text[p]), item), {})[int(start[p]) + i] = place
+    for (t, item), met in found.items():
+        begin, end, answer = int(index.first[item]), int(index.first[item + 1]), int(index.answer[item])
+        shared = np.zeros(end - begin, bool)
+        for place in met.values():
+            shared[place - begin : place - begin + run] = True
+        yield int(rows[first[t]]), item, len(met), int(shared[: answer - begin].sum()), _holds(codes[first[t] : last[t]], index.codes[answer:end])
 
 
-def leaked(documents: DataFrame, key: str, text: str, index: ItemIndex, passage: int = PASSAGE) -> DataFrame:
-    """(key, item_id, runs): the items each document leaks, and at how many of its words a run of theirs starts.
+def _holds(codes: np.ndarray, wanted: np.ndarray) -> bool | None:
+    """Whether the wanted codes stand among the codes, in order and next to each other; None if there are none."""
+    if not len(wanted):
+        return None
+    at = np.flatnonzero(codes[: max(len(codes) - len(wanted) + 1, 0)] == wanted[0])
+    for i in range(1, len(wanted)):
+        at = at[codes[at + i] == wanted[i]]
+    return bool(len(at))
 
-    Narrow: one pass over the documents, no shuffle; the broadcast index has the size of the items."""
-    if passage < 2 * index.run:
-        raise ValueError("a passage must hold two runs")
-    kind = documents.schema[key].dataType.simpleString()
-    # as bytes: a broadcast object would need this package on the executors' path
-    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+
+_FOUND = "item_id {kind}, runs bigint, question bigint, answer boolean"
+
+
+def leaked(documents: DataFrame, key: str, text: str, indexes: list[Broadcast], kind: str, passage: int = PASSAGE) -> DataFrame:
+    """(key, item_id, runs, question, answer): the items each document leaks, at how many of its words a run of theirs starts,
+    how many words of their question stand in such runs, and whether the document has their answer (null if they have none).
+
+    Narrow: one pass over the documents, no shuffle. With several indexes documents wait for all of them, up to MAX_WAITING
+    characters at a time."""
+    own = documents.schema[key].dataType.simpleString()
+    names = ["key", "item_id", "runs", "question", "answer"]
+
+    def look(keys: pa.Array, words: pa.Array, rows: np.ndarray, index: ItemIndex) -> Iterator[pa.RecordBatch]:
+        met = list(_shares(words, rows, index, passage))
+        if met:
+            row, item, *counts = zip(*met)
+            columns = [keys.take(pa.array(row)), pa.array([index.keys[i] for i in item])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(counts, (pa.int64(), pa.int64(), pa.bool_())))], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = cloudpickle.loads(shared.value)
-        for batch in batches:
-            met = list(_shares(batch.column("text"), known, passage))
-            if met:
-                row, item, runs = zip(*met)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").take(pa.array(row)),
-                        pa.array([known.keys[i] for i in item]),
-                        pa.array(runs, pa.int64()),
-                    ],
-                    names=["key", "item_id", "runs"],
-                )
+        if len(indexes) == 1:
+            index = cloudpickle.loads(indexes[0].value)
+            for batch in batches:
+                words, rows = words_of(batch.column("text"))
+                yield from look(batch.column("key"), words, np.asarray(rows), index)
+            return
+        waiting, size = [], 0
 
-    source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(scan, f"key {kind}, item_id {index.kind}, runs bigint").withColumnRenamed("key", key)
+        def pass_by() -> Iterator[pa.RecordBatch]:
+            for shared in indexes:
+                index = cloudpickle.loads(shared.value)
+                # kept on the executor's disk, not in this process
+                vars(shared).pop("_value", None)
+                for keys, words, rows in waiting:
+                    yield from look(keys, words, rows, index)
 
+        for batch in batches:
+            words, rows = words_of(batch.column("text"))
+            waiting.append((batch.column("key"), words, np.asarray(rows)))
+            size += pc.sum(pc.binary_length(words)).as_py() or 0
+            if size > MAX_WAITING:
+                yield from pass_by()
+                waiting, size = [], 0
+        if waiting:
+            yield from pass_by()
 
-def search_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, most: int = MAX_ITEM_CHARS) -> DataFrame:
-    """(key, item_id, runs) for items of any number: those beyond the size of one index are split by a hash of their
-    key, and the documents are read once for each part. Hash parts are never equal, so they are planned at half of
-    that size, and one that is still too large is split again. A single item above the limit is an index of its own."""
-    size = _size(items, item_text)
-    return reduce(DataFrame.unionByName, [leaked(documents, key, text, index) for index in _indexes(items, item_key, item_text, size, most)])
+    source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return source.mapInArrow(scan, f"key {own}, " + _FOUND.format(kind=kind)).withColumnRenamed("key", key)
 
 
-def _indexes(items: DataFrame, key: str, text: str, size: int, most: int, depth: int = 0) -> Iterator[ItemIndex]:
-    """Indexes of at most `most` characters that together hold all items; of one item if that alone is larger."""
-    if size <= most or (depth and items.where(F.col(text).isNotNull()).limit(2).count() < 2):
-        yield build_index(items, key, text, most=max(size, most))
-        return
-    if depth == MAX_SPLITS:
-        raise ValueError(f"{size} characters of items of one key; an index takes {most}")
-    parts = -(-2 * size // most)
-    # another seed at each depth: what met in one part is parted
-    part = F.pmod(F.xxhash64(F.lit(depth), key), F.lit(parts))
-    sizes = dict(items.groupBy(part.alias("part")).agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).collect())
-    for i, own in sorted(sizes.items()):
-        yield from _indexes(items.where(part == i), key, text, own, most, depth + 1)
+def search_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, most: int | None = None, passage: int = PASSAGE) -> DataFrame:
+    """`leaked` for items of any number and size."""
+    if passage < 2 * RUN:
+        raise ValueError("a passage must hold two runs")
+    # as bytes: a broadcast object would need this package on the executors' path
+    send = documents.sparkSession.sparkContext.broadcast
+    indexes = [send(cloudpickle.dumps(index)) for index in item_indexes(items, item_key, item_text, most)]
+    return leaked(documents, key, text, indexes, items.schema[item_key].dataType.simpleString(), passage)

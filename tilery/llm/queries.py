@@ -100,8 +100,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, documents, longest): how many documents leak each item, and the most runs of it in one."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("runs").alias("longest"))
+    """(item_id, documents, longest, answers): how many documents leak each item, the most runs of it in one, and how many of
+    them have its answer too."""
+    found = _leaks(spark, sf_dir).groupBy("item_id")
+    return found.agg(F.count("*").alias("documents"), F.max("runs").alias("longest"), F.count_if("answer").alias("answers"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
@@ -249,7 +251,11 @@ ORACLE = {
     "p4_found": _SETS + "SELECT x AS item_key_a, y AS item_key_b FROM pairs",
     "p5_found": _COUNTED + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_found": _WORDS + "SELECT doc_id, item_id FROM met",
-    "p6_items": _WORDS + "SELECT item_id, count(*) AS documents, max(runs) AS longest FROM met GROUP BY 1",
+    "p6_items": _WORDS
+    + r""", answers AS (SELECT item_id, trim(regexp_replace(lower(regexp_replace(text, '^.*?(?:^|\n)[^\S\n]*(?:answer|solution|example)[^\S\n]*:', '', 'is')), '[^\p{L}\p{N}]+', ' ', 'g')) AS answer
+      FROM eval_items WHERE regexp_matches(text, '(?:^|\n)[^\S\n]*(?:answer|solution|example)[^\S\n]*:', 'i'))
+    SELECT item_id, count(*) AS documents, max(runs) AS longest, count(*) FILTER (answer <> '' AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || answer || ' ')) AS answers
+    FROM met JOIN doc_words ON id = doc_id LEFT JOIN answers USING (item_id) GROUP BY 1""",
     # characters for tokens: the sources are far enough from their limits
     "p7_found": """
 WITH sized AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),

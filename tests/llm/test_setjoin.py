@@ -39,26 +39,43 @@ def make(n, vocabulary, seed, copies=0):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("vocabulary, block, hot_share", [(200, 1500, 10_000), (12, 1500, 10_000), (12, 5, 10_000), (12, 5, 3), (40, 3, 1)])
-def test_pairs(spark, vocabulary, block, hot_share, monkeypatch):
+@pytest.mark.parametrize("vocabulary, block, buckets", [(200, 1500, 1 << 20), (12, 1500, 1 << 20), (12, 5, 1 << 20), (12, 5, 3), (40, 3, 1)])
+def test_pairs(spark, vocabulary, block, buckets):
     records = make(150, [f"w{i}" for i in range(vocabulary)], vocabulary, copies=6)
     frame = spark.createDataFrame([(k, v, "c") for k, v in records], "class_id long, tokens array<string>, key string")
     classes = S.set_classes(frame, "class_id", "tokens", 3)
     distinct = classes.groupBy("class_id").agg({"tokens": "first", "key": "collect_list"}).toDF("class_id", "tokens", "keys").cache()
-    keys = {r["class_id"]: r["keys"] for r in distinct.collect()}
-    links = S.similar_classes(distinct.select("class_id", "tokens"), SHARE, block, hot_share).collect()
-    assert len({(r["class_a"], r["class_b"]) for r in links}) == len(links), "each pair once"
-    got = {tuple(sorted((a, b))) for r in links for a in keys[r["class_a"]] for b in keys[r["class_b"]]}
+    keys = {bytes(r["class_id"]): r["keys"] for r in distinct.collect()}
+    links = S.similar_classes(distinct.select("class_id", "tokens"), SHARE, block, buckets).collect()
+    links = [(bytes(r["class_a"]), bytes(r["class_b"])) for r in links]
+    assert len(set(links)) == len(links), "each pair once"
+    got = {tuple(sorted((a, b))) for x, y in links for a in keys[x] for b in keys[y]}
     got |= {p for own in keys.values() for p in combinations(sorted(own), 2)}
     assert got == brute(records)
 
 
-def test_pair_rows_and_counts(spark):
+def test_grades():
+    assert [S.grade(n) for n in (0, 1, 2, 3)] == [0, 0, 9, 13]
+    assert all(S.grade(n) <= S.grade(n + 1) for n in range(5000)) and S.grade(1 << 60) == 255
+
+
+def test_grades_of_tokens(spark):
+    frame = spark.createDataFrame([([1, 2, -3],), ([1, 2],), ([1],), ([],)], "tokens array<long>")
+    got = S.token_grades(frame, 5)
+    assert got.tolist() == [0, S.grade(3), S.grade(3), 0, 0]
+
+
+@pytest.mark.parametrize("split, sent", [(10_000, 100_000), (1, 100_000), (2, 0)])
+def test_pair_rows_and_counts(spark, monkeypatch, split, sent):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", sent)
     records = make(80, [f"w{i}" for i in range(10)], 5, copies=4)
     frame = spark.createDataFrame(records, "id long, words array<string>")
-    rows = [tuple(r) for r in S.similar_pairs(frame, "id", "words", SHARE, 3).collect()]
+    rows = [tuple(r) for r in S.similar_pairs(frame, "id", "words", SHARE, 3, split).collect()]
     want = brute(records)
     assert set(rows) == want and len(rows) == len(want)
+    sets = {k: frozenset(x for x in v if x) for k, v in records if v}
+    for r in S.similar_counts(frame, "id", "words", SHARE, 3).collect():
+        assert r["class_id"] == min(k for k in sets if sets[k] == sets[r["id"]])
     links = {r["id"]: r["links"] for r in S.similar_counts(frame, "id", "words", SHARE, 3).collect()}
     for k, n in links.items():
         assert n == sum(k in p for p in want)

@@ -65,7 +65,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_key, class_id, links): class of equal alias sets of each live item, and how many items are similar."""
+    """(item_key, class_id, links): class of equal alias sets of each live item, by the least item_key in it, and how many
+    items are similar."""
     items = _live(spark, sf_dir, "aliases").select("item_key", alias_forms("aliases").alias("forms"))
     return setjoin.similar_counts(items, "item_key", "forms", ALIAS_SHARE, ALIAS_LEAST)
 
@@ -249,6 +250,10 @@ ORACLE = {
     + """SELECT item_key, term, tf, records, round(ln(1 + tf) * greatest(0, 1 - (ln(occ) - spread / occ) / ln((SELECT count(*) FROM live))), 6) AS weight
     FROM tf JOIN st USING (term)""",
     "p4_found": _SETS + "SELECT x AS item_key_a, y AS item_key_b FROM pairs",
+    "p4_classes": _SETS
+    + """, sets AS (SELECT item_key, list(f ORDER BY f) AS fs FROM filled GROUP BY 1 HAVING count(*) >= 3),
+    links AS (SELECT k, count(*) AS links FROM (SELECT x AS k FROM pairs UNION ALL SELECT y FROM pairs) GROUP BY 1)
+    SELECT item_key, min(item_key) OVER (PARTITION BY fs) AS class_id, coalesce(links, 0) AS links FROM sets LEFT JOIN links ON k = item_key""",
     "p5_found": _COUNTED + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_found": _WORDS + "SELECT doc_id, item_id FROM met",
     "p6_items": _WORDS

@@ -1,16 +1,19 @@
 """All similar pairs between set-valued records: T-occurrence list merging.
 
 Equal sets are folded into one class first. A class is sent to the partition of each token of its prefix,
-the n - ceil(t n) + 1 tokens that come first in one global order (hot tokens last): two sets whose Jaccard
+the n - ceil(t n) + 1 tokens that come first in one global order, rarest first: two sets whose Jaccard
 similarity reaches t share such a token, and the pair is emitted by the first token they share, once. The
 classes of one token are its block; over a block stand inverted lists of all their tokens, and each class
 probes those of its own: the shorter lists are merged on a heap that skips ahead, the longest are only
 searched by bisection, and whatever reaches the required overlap is compared exactly.
 
+How rare a token is comes from a table of counts by a hash of the token, BUCKETS of them at any size of the data, in one
+byte each; tokens of one bucket stand together in the order. A token alone in its bucket belongs to one class only and
+is not sent. Any order gives the same pairs; this one keeps blocks small.
+
 A token with more than BLOCK classes is split into parts, and each pair of parts is a block of its own, so
-no task ever holds more than about two parts. Nothing is capped: all pairs of parts are joined. How many parts a
-hot token has is broadcast (there are at most HOT_SHARE of them); for all others it comes by a shuffle, whose
-keys hold no more than a HOT_SHAREth of the rows.
+no task ever holds more than about two parts. Nothing is capped: all pairs of parts are joined. Likewise members of a
+class beyond MEMBERS are split into parts where pairs of records are asked for.
 
 Defined cases: null lists, null and empty elements, and repeats don't count; sets of fewer than `least`
 elements take no part; equal sets are similar; an empty table gives no pairs; columns other than the key and
@@ -23,19 +26,21 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
-from math import log2
+from math import floor, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilery.plans.session import durable
 
-#: Classes of one token that are merged at once.
-BLOCK = 1500
-#: Tokens in more than one of HOT_SHARE of all (class, token) rows are hot; there are at most HOT_SHARE.
-HOT_SHARE = 10_000
+#: Classes of one token that are merged at once; members of a class in one part.
+BLOCK, MEMBERS = 1500, 10_000
+#: Counts of tokens by their hash: what is gathered and broadcast has this size at most.
+BUCKETS = 1 << 22
+#: Split tokens or classes up to so many are broadcast, more are joined in a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def merge_skip(lists: list[list[int]], wanted: int, below: int) -> list[int]:
@@ -112,63 +117,87 @@ def set_classes(records: DataFrame, key: str, elements: str, least: int = 1) ->
         records.where(F.col(key).isNotNull())
         .select(F.col(key).alias("key"), tokens.alias("tokens"))
         .where(F.size("tokens") >= least)
-        .withColumn("class_id", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))))
+        .withColumn("class_id", F.unhex(F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>")))))
     )
 
 
-def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot_share: int = HOT_SHARE) -> DataFrame:
+def grade(n: int) -> int:
+    """A count from 1 on in one byte, by its logarithm; 0 is a single one."""
+    return 0 if n < 2 else min(255, 1 + floor(8 * log2(n)))
+
+
+def token_grades(classes: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The grade of how many (class, token) rows each bucket of tokens has."""
+    counts = classes.select(F.explode("tokens").alias("token")).groupBy(F.pmod("token", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    graded = F.least(F.lit(255), 1 + F.floor(8 * F.log2("n"))).cast("int")
+    rows = counts.where("n > 1").select("bucket", graded.alias("grade")).toArrow()
+    out = np.zeros(buckets, np.uint8)
+    out[np.asarray(rows["bucket"])] = np.asarray(rows["grade"])
+    return out
+
+
+def prefixes(lists: pa.Array, grades: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, token, grade) of the prefix tokens of lists that more than one class may have, and the lists in the
+    global order."""
+    flat = np.asarray(lists.flatten())
+    offsets = np.asarray(lists.offsets)
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets)
+    row, grade_of = np.repeat(np.arange(len(size)), size), grades[flat % len(grades)]
+    order = np.lexsort((flat, grade_of, row))
+    flat, grade_of = flat[order], grade_of[order]
+    prefix = size - -(-share.numerator * size // share.denominator) + 1
+    sent = np.flatnonzero((np.arange(len(flat)) - offsets[row] < prefix[row]) & (grade_of > 0))
+    return row[sent], flat[sent], grade_of[sent], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+
+
+def _small(frame: DataFrame) -> tuple[DataFrame, int]:
+    """The frame, to be broadcast if it is small enough, and its size."""
+    frame = durable(frame)
+    n = frame.count()
+    return (F.broadcast(frame) if n <= BROADCAST_ROWS else frame), n
+
+
+def _every(parts: Column) -> Column:
+    """A row for each part."""
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
+def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
     """(class_a, class_b, overlap, union_size) of all pairs of different classes (class_id, tokens) with a Jaccard
     similarity of at least `share`."""
     spark = classes.sparkSession
-    every = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = every.agg(F.sum("n")).first()[0] or 0
-    limit = max(total // hot_share, 50)
-    # at most hot_share rows by the bound, whatever the table's size
-    hot = sorted((n, token) for token, n in every.where(F.col("n") > limit).collect())
-    place = spark.sparkContext.broadcast({token: at for at, (_, token) in enumerate(hot)})
-    num, den = share.numerator, share.denominator
+    counted = token_grades(classes, buckets)
+    crowded = bool((counted >= grade(block)).any())
+    grades = spark.sparkContext.broadcast(counted)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = place.value
+        known, full = grades.value, grade(block)
         for batch in batches:
-            token, row, tokens = [], [], []
-            for at, own in enumerate(batch.column("tokens").to_pylist()):
-                own.sort(key=lambda x: (ranks.get(x, -1), x))
-                for first in own[: len(own) + (-num * len(own)) // den + 1]:
-                    token.append(first)
-                    row.append(at)
-                    tokens.append(own)
+            row, token, graded, lists = prefixes(batch.column("tokens"), known, share)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(token, pa.int64()),
-                    pa.array([x in ranks for x in token], pa.bool_()),
-                    batch.column("class_id").take(pa.array(row, pa.int64())),
-                    pa.array(tokens, pa.list_(pa.int64())),
-                ],
-                names=["token", "hot", "class_id", "tokens"],
+                [pa.array(token), pa.array(graded >= full), batch.column("class_id").take(pa.array(row)), lists.take(pa.array(row))],
+                names=["token", "crowded", "class_id", "tokens"],
             )
 
-    sent = classes.select("class_id", "tokens").mapInArrow(send, "token bigint, hot boolean, class_id string, tokens array<bigint>")
-    sizes = sent.groupBy("token", "hot").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    sizes = sizes.select("token", "hot", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    if hot:
-        sent = sent.join(F.broadcast(sizes.where("hot").select("token", F.col("parts").alias("hot_parts"))), "token", "left")
-    else:
-        sent = sent.withColumn("hot_parts", F.lit(None).cast("int"))
-    if limit > block:
-        # rows of hot tokens keep apart by their class: they find no match here
-        spread = F.when(F.col("hot"), F.xxhash64("class_id")).otherwise(F.col("token"))
-        others = sizes.where(~F.col("hot")).select(F.col("token").alias("key"), "hot", F.col("parts").alias("other_parts"))
-        sent = sent.withColumn("key", spread).join(others, ["key", "hot"], "left").drop("key")
+    sent = classes.select("class_id", "tokens").mapInArrow(send, "token bigint, crowded boolean, class_id binary, tokens array<bigint>")
+    split = 0
+    if crowded:
+        sizes = sent.where("crowded").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block)
+        sizes, split = _small(sizes.select(F.col("token").alias("key"), F.lit(True).alias("crowded"), F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    if split:
+        # rows that aren't crowded keep apart by their class: they find no match here
+        spread = F.when(F.col("crowded"), F.col("token")).otherwise(F.xxhash64("class_id"))
+        sent = sent.withColumn("key", spread).join(sizes, ["key", "crowded"], "left")
+        parts = F.coalesce("parts", F.lit(1))
+        sent = sent.select("token", "class_id", "tokens", parts.alias("parts"), F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("part"))
+        sent = sent.select("*", _every(F.col("parts")).alias("other"))
+        pair = F.least("part", "other").cast("bigint") * F.col("parts") + F.greatest("part", "other")
+        # in a block of one part all of it is compared, in one of two parts only what stands in different ones
+        side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))
+        sent = sent.select("token", pair.alias("block"), side.cast("bigint").alias("part"), "class_id", "tokens")
     else:
-        sent = sent.withColumn("other_parts", F.lit(None).cast("int"))
-    parts = F.coalesce("hot_parts", "other_parts", F.lit(1))
-    sent = sent.select("token", "class_id", "tokens", parts.alias("parts"), F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("part"))
-    sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pair = F.least("part", "other").cast("bigint") * F.col("parts") + F.greatest("part", "other")
-    # in a block of one part all of it is compared, in one of two parts only what stands in different ones
-    side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))
-    sent = sent.select("token", pair.alias("block"), side.cast("bigint").alias("part"), "class_id", "tokens")
+        sent = sent.select("token", F.lit(0).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("part"), "class_id", "tokens")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -183,7 +212,7 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot
 
         def rows() -> pa.RecordBatch:
             columns = zip(*found)
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], names=["class_a", "class_b", "overlap", "union_size"]
             )
@@ -209,36 +238,50 @@ def similar_classes(classes: DataFrame, share: Fraction, block: int = BLOCK, hot
             yield rows()
 
     blocks = sent.repartition("token", "block").sortWithinPartitions("token", "block")
-    return blocks.mapInArrow(merge, "class_a string, class_b string, overlap bigint, union_size bigint")
+    return blocks.mapInArrow(merge, "class_a binary, class_b binary, overlap bigint, union_size bigint")
 
 
 def _folded(records: DataFrame, key: str, elements: str, least: int) -> tuple[DataFrame, DataFrame]:
     members = durable(set_classes(records, key, elements, least))
-    classes = members.groupBy("class_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("members"))
+    classes = durable(members.groupBy("class_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("members"), F.min("key").alias("least")))
     return members.select("key", "class_id"), classes
 
 
-def similar_pairs(records: DataFrame, key: str, elements: str, share: Fraction, least: int = 1) -> DataFrame:
+def similar_pairs(records: DataFrame, key: str, elements: str, share: Fraction, least: int = 1, split: int = MEMBERS) -> DataFrame:
     """(key_a, key_b), key_a < key_b: every pair of records whose sets have at least `least` elements each and
     a Jaccard similarity of at least `share`, pairs of equal sets included."""
     members, classes = _folded(records, key, elements, least)
     links = similar_classes(classes, share).select("class_a", "class_b")
-    a = members.select(F.col("key").alias("x"), F.col("class_id").alias("class_a"))
-    b = members.select(F.col("key").alias("y"), F.col("class_id").alias("class_b"))
-    across = links.join(a, "class_a").join(b, "class_b").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
-    several = classes.where(F.col("members") > 1).select(F.col("class_id").alias("class_a"))
-    own = a.join(several, "class_a")
-    same = own.join(own.select(F.col("x").alias("y"), "class_a"), "class_a").where(F.col("x") < F.col("y"))
+    large, n = _small(classes.where(F.col("members") > split).select("class_id", F.ceil(F.col("members") / split).cast("int").alias("parts")))
+    several = classes.where(F.col("members") > 1).select("class_id")
+    if n:
+        # members of a large class stand in parts, and whatever meets it goes to each of them
+        in_parts = lambda f, c: f.join(large.withColumnRenamed("class_id", c), c, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        members = in_parts(members, "class_id").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        for c, part in (("class_a", "part_a"), ("class_b", "part_b")):
+            links = in_parts(links, c).withColumn(part, _every(F.col("parts"))).drop("parts")
+    else:
+        members = members.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+        links = links.withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    a = members.select(F.col("key").alias("x"), F.col("class_id").alias("class_a"), F.col("part").alias("part_a"))
+    b = members.select(F.col("key").alias("y"), F.col("class_id").alias("class_b"), F.col("part").alias("part_b"))
+    across = links.join(a, ["class_a", "part_a"]).join(b, ["class_b", "part_b"]).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    own = members.join(several, "class_id")
+    # x of part p and y of part q meet in the block of p and q
+    left = own.select("class_id", F.col("key").alias("x"), F.col("part").alias("p"), _every(F.col("parts")).alias("q"))
+    right = own.select("class_id", F.col("key").alias("y"), F.col("part").alias("q"), _every(F.col("parts")).alias("p"))
+    same = left.join(right, ["class_id", "p", "q"]).where(F.col("x") < F.col("y"))
     return across.unionByName(same.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b")))
 
 
 def similar_counts(records: DataFrame, key: str, elements: str, share: Fraction, least: int = 1) -> DataFrame:
-    """(key, class_id, links): each record's class of equal sets and the number of other records similar to it."""
+    """(key, class_id, links): each record's class of equal sets, by the least key in it, and the number of other records
+    similar to it."""
     members, classes = _folded(records, key, elements, least)
     links = similar_classes(classes, share).select("class_a", "class_b")
     both = links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     sizes = classes.select(F.col("class_id").alias("class_b"), "members")
     outer = both.join(sizes, "class_b").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("members").alias("outer"))
-    counts = classes.select("class_id", "members").join(outer, "class_id", "left")
-    counts = counts.select("class_id", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("links"))
-    return members.join(counts, "class_id").select(F.col("key").alias(key), "class_id", "links")
+    counts = classes.select("class_id", "members", "least").join(outer, "class_id", "left")
+    counts = counts.select("class_id", "least", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("links"))
+    return members.join(counts, "class_id").select(F.col("key").alias(key), F.col("least").alias("class_id"), "links")

@@ -1,9 +1,15 @@
 """Personal information inside free text: anchors found by Aho-Corasick, expanded by local parsers.
 
 One automaton finds every anchor of a text in one pass: at-signs and their spellings, digits beside separators,
-street words, labels and cues, given names, beginnings of comments. At each anchor a deterministic parser looks a bounded way to both
-sides (for numbers: over the whole field of digits, blanks and ()-./+ it stands in, each field once), takes the boundaries of the mailbox, number, address or name, and validates it. Names also stand right beside what was found of the other kinds. Found stretches that
-overlap give way to the stronger kind, then to the longer. A text is read whole, whatever its length.
+street words, labels, beginnings of comments and quotes, what people do, words one addresses or names people with, given names.
+At each anchor a deterministic parser looks a bounded way to both sides (for numbers: over the whole field of digits,
+blanks and ()-./+ it stands in, each field once), takes the boundaries of the mailbox, number, address or name, and
+validates it. An address reaches up to 64 characters before its street word and 96 after. Found stretches that overlap
+give way to the stronger kind, then to the longer. A text is read whole, whatever its length.
+
+A name needs a label (`author:`) or a mailbox, number or address right beside it; else capital words of a person's shape are
+scored by what speaks for a person: standing in a comment, a quoted field or at the beginning of a line; a word like `by` or
+`thanks` before; a verb of doing something behind; a given name; words that the text has nowhere in lower case. POINTS of these are wanted.
 
 Defined cases: null and empty texts hold nothing; the same stretch found twice in a text is kept twice here, with
 its places; replacing leaves every other character as it is; an empty table gives an empty table.
@@ -25,18 +31,25 @@ KINDS = (EMAIL, ADDRESS, ID_NUMBER, PHONE, NAME)
 # Words that anchor or bound what is looked for.
 AT_SPELLINGS = ("(at)", "[at]", "{at}", "<at>", " at ")
 STREET_TYPES = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Boulevard", "Blvd", "Lane", "Ln", "Drive", "Dr", "Court", "Way", "Place", "Square", "Terrace")
-STREET_OPENERS = ("Rue", "Via", "Calle", "Avenida", "Piazza", "Plaza", "Chemin", "Quai")
+STREET_OPENERS = ("Rue", "Via", "Calle", "Avenida", "Piazza", "Plaza", "Chemin", "Quai", "Boulevard", "Avenue", "Place", "Viale", "Corso", "Paseo", "Rua", "Allée", "Impasse")
 STREET_ENDINGS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm")
 UNITS = ("Apt", "Apartment", "Unit", "Suite", "Ste", "Flat", "Floor", "Room", "Rm")
 NAME_LABELS = (
     "author", "authors", "written by", "maintainer", "maintained by", "reviewed-by", "signed-off-by", "acked-by", "tested-by",
-    "co-authored-by", "reported-by", "contact", "deliver to", "ship to", "attn", "todo: ask", "ask", "thanks to", "courtesy of",
-    "fixed by", "reported by", "suggested by", "reviewed by", "approved by", "added by", "created by", "contributed by", "tested by", "todo(", "fixme(", "cc",
-    "pairing notes", "row for", "record for", '"name"', "'name'", "name", "owners", "owner", "copyright", "(c)", "©", "values (", "assigned to",
+    "co-authored-by", "reported-by", "contact", "ship to", "attn", "courtesy of", "fixed by", "reported by", "suggested by", "reviewed by", "approved by",
+    "added by", "created by", "contributed by", "tested by", "todo(", "fixme(", "cc", '"name"', "'name'", "name", "owners", "owner", "copyright", "(c)", "©",
+    "assigned to",
+)
+#: What stands before a person one speaks to or of; what a person does.
+ADDRESSING = ("by", "to", "for", "from", "with", "ask", "asked", "thanks", "thank", "ping", "see", "per", "tell", "told", "call", "meet", "dear", "hi", "hello", "mr", "mrs", "ms", "dr", "prof", "and", "credits")
+DOING = (
+    "added", "agreed", "approved", "asked", "began", "broke", "brought", "built", "changed", "chose", "contributed", "created", "cleaned", "debugged", "decided", "did", "discovered",
+    "documented", "drew", "explained", "fixed", "found", "gave", "helped", "implemented", "improved", "insisted", "introduced", "kept", "knows", "maintained", "maintains", "measured", "merged", "mentioned", "moved",
+    "noticed", "owns", "pointed", "ported", "profiled", "proposed", "proved", "pushed", "put", "refactored", "removed", "renamed", "replaced", "reported", "requested", "reverted", "reviewed", "rewrote", "said", "saw",
+    "says", "sent", "set", "showed", "spotted", "suggested", "tested", "thinks", "thought", "told", "took", "tracked", "tuned", "wants", "wrote",
 )
-NAME_FOLLOWERS = (" reported this", " and the ", " wrote ", " agreed to ")
 COMPANY_WORDS = (
-    "ab", "ag", "bv", "co", "collective", "company", "consortium", "corp", "corporation", "foundation", "gmbh", "group", "harbor",
+    "ab", "ag", "bv", "co", "collective", "company", "consortium", "corp", "corporation", "foundation", "gmbh", "group",
     "inc", "institute", "labs", "limited", "llc", "ltd", "oy", "partners", "project", "sa", "sarl", "se", "software", "solutions",
     "studio", "systems", "team", "technologies", "tooling", "university", "works",
 )
@@ -69,12 +82,19 @@ GIVEN_NAMES = tuple(
     Yvonne Zahra Zeynep Zofia
     """.split()
 )
-#: Where a comment begins; what people do there to something.
+#: Where a comment begins.
 COMMENTS = ("// ", "# ", "/* ", "* ", "-- ", "<!-- ")
+#: What a name begins with, to be found behind an anchor.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+#: Points that a name without a label needs.
+POINTS = 3
 _DOES = re.compile(
-    r"(?:[ ]and[ ](?:the|our|his|her|their|some)(?:[ ][a-z]+){1,3}?)?[ ](?:[a-z]+ed|began|broke|built|chose|did|drew|found|gave|got|has|kept|knows|made|met|owns|put|rewrote|said|saw|says|sent|set|spoke|thinks|thought|told|took|wants|went|wrote)"
-    r"[ ](?:the|a|an|this|that|these|those|our|my|his|her|their|its|it|us|me|to|why|how|what|some|all|both|with|about)\b"
+    rf"(?:,?[ ]and[ ](?:the|our|his|her|their|some)(?:[ ][a-z]+){{1,3}}?)?[ ](?:{'|'.join(DOING)}|[a-z]+ed)"
+    r"(?:[ ](?:the|a|an|this|that|these|those|our|my|his|her|their|its|it|us|me|to|why|how|what|some|all|both|with|about|out|in|for|on)\b|[,.;:])"
 )
+_ADDRESSED = re.compile(rf"(?<![\w.-])(?:{'|'.join(ADDRESSING)})[.:]?[ ]$", re.I)
+_ADDRESSED_OR_KEY = re.compile(rf"{_ADDRESSED.pattern}|\w:[ ]$", re.I)
+_REMARK = re.compile(r"(?:^|[\s;{}(),])(?://+|#+|/\*+|--|<!--)[ \t]|^[ \t]*\*[ \t]|^[ \t]*$")
 #: Capital words beside an address or in a comment that are no names of people.
 NO_NAMES = frozenset(
     """access account active address admin agent api application back billing bug build cache channel client code collector column contact controller core customer daemon data database
@@ -107,12 +127,17 @@ _SOCIAL_LABEL = re.compile(r"(?:ssn|social security|s\.s\.n\.)[^\n]{0,16}$", re.
 _CAP = r"[A-ZÀ-ÖØ-Þ]\w*(?:['’-]\w+)*"
 _TOWN = rf"{_CAP}(?:[ ]{_CAP})?"
 _POSTCODE = r"(?:\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2})(?![A-Za-z0-9])"
+_PARTICLES = r"(?:(?:de|du|des|d'|della|dei|degli|del|di|da|la|las|le|les|los|l'|von|van|der|den|zur|zum|am|an)[ ]?){0,3}"
+_OPENERS = "|".join(f"[{x[0]}{x[0].lower()}]{x[1:]}" for x in STREET_OPENERS)
+_OPENER_BETWEEN = re.compile(
+    rf"(?<![\w.,/-])\d{{1,4}}(?:[ ]?(?:bis|ter|[A-Za-z]))?,?[ ](?:{_OPENERS})[ ]{_PARTICLES}(?:{_CAP}[ ]?){{1,4}},[ ](?:{_POSTCODE}[ ]{_TOWN}|{_TOWN},?[ ]{_POSTCODE})"
+)
 _NUMBER_FIRST = re.compile(
     rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{1,3}}(?:{'|'.join(STREET_TYPES)})\.?,[ ](?:(?:{'|'.join(UNITS)})\.?[ ]?\#?\w{{1,6}},[ ])?"
     rf"(?:{_TOWN},?[ ]{_POSTCODE}|{_POSTCODE}[ ]{_TOWN})"
 )
 _STREET_FIRST = re.compile(
-    rf"(?<![\w-])(?:(?:{'|'.join(STREET_OPENERS)})[ ](?:{_CAP}[ ]){{1,3}}|(?:{_CAP}[ ])?[A-ZÀ-ÖØ-Þ]\w*(?:{'|'.join(map(re.escape, STREET_ENDINGS))})[ ])"
+    rf"(?<![\w-])(?:(?:{_OPENERS})[ ]{_PARTICLES}(?:{_CAP}[ ]){{1,3}}|(?:{_CAP}[ ])?[A-ZÀ-ÖØ-Þ]\w*(?:{'|'.join(map(re.escape, STREET_ENDINGS))})[ ])"
     rf"\d{{1,4}}[a-z]?,[ ](?:{_POSTCODE}[ ]{_TOWN}|{_TOWN},?[ ]{_POSTCODE})"
 )
 _ONE = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -197,7 +222,7 @@ def _letters(text: str, at: int, end: int) -> Iterator[Span]:
 
 def _address(text: str, at: int, end: int) -> Iterator[Span]:
     low, high = max(0, at - 64), min(len(text), end + 96)
-    for pattern in (_NUMBER_FIRST, _STREET_FIRST):
+    for pattern in (_NUMBER_FIRST, _OPENER_BETWEEN, _STREET_FIRST):
         for m in pattern.finditer(text, low, high):
             if m.start() <= at < m.end():
                 yield m.start(), m.end(), ADDRESS
@@ -233,13 +258,6 @@ def _labelled(text: str, at: int, end: int) -> Iterator[Span]:
         start = more.end()
 
 
-def _followed(text: str, at: int, end: int) -> Iterator[Span]:
-    low = max(0, at - 64)
-    m = _PERSON_BEFORE.search(text[low:at])
-    if m and _is_person(text, low + m.start(), at):
-        yield low + m.start(), at, NAME
-
-
 def _given(text: str, at: int, end: int) -> Iterator[Span]:
     if (at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_-.'’@/")) or (end < len(text) and (text[end].isalnum() or text[end] in "_-@")):
         return
@@ -261,17 +279,57 @@ def _plausible(text: str, start: int, end: int) -> bool:
     return not text[start:end].isupper() and not any(w in NO_NAMES for w in words) and _is_person(text, start, end)
 
 
-def _commented(text: str, at: int, end: int) -> Iterator[Span]:
-    """People at the beginning of a comment that says what they did."""
-    people, start = [], end
+def _points(text: str, start: int, end: int) -> int:
+    """What speaks for capital words being a person, 0 if something speaks against it."""
+    if not _plausible(text, start, end):
+        return 0
+    low = max(0, start - 200, text.rfind("\n", max(0, start - 200), start) + 1)
+    quoted = start > 0 and text[start - 1] in "\"'" and text[end : end + 1] == text[start - 1]
+    points = int(quoted or _REMARK.search(text[low:start]) is not None)
+    # people joined by `and` do it together
+    last = end
+    while (more := _ANOTHER.match(text, last)) and (other := _PERSON_HERE.match(text, more.end(), min(len(text), more.end() + 80))):
+        last = other.end()
+    does = _DOES.match(text, last, min(len(text), last + 60)) is not None
+    # a key counts before what someone does: else it may be one of a product or place
+    points += does + ((_ADDRESSED_OR_KEY if does else _ADDRESSED).search(text[max(low, start - 12) : start]) is not None)
+    words = [w for w in re.split(r"[ ,]+", text[start:end]) if len(w) > 2 and not w.endswith(".")]
+    points += 2 * any(w in _GIVEN for w in words)
+    if points in (POINTS - 1, POINTS - 2):
+        points += all(re.search(rf"(?<![\w.@+/-]){re.escape(w.lower())}(?![\w@+/-]|\.\w)", text) is None for w in words)
+    return points
+
+
+_GIVEN = frozenset(GIVEN_NAMES)
+
+
+def _person_at(text: str, start: int) -> Iterator[Span]:
+    """The person that begins at a place, and those joined to it."""
     while m := _PERSON_HERE.match(text, start, min(len(text), start + 80)):
-        people.append((m.start(), m.end(), NAME))
+        if "," not in m.group() and _points(text, m.start(), m.end()) >= POINTS:
+            yield m.start(), m.end(), NAME
         more = _ANOTHER.match(text, m.end())
         if not more:
-            break
+            return
         start = more.end()
-    if people and _DOES.match(text, people[-1][1], min(len(text), people[-1][1] + 40)):
-        yield from (p for p in people if _plausible(text, p[0], p[1]))
+
+
+def _opened(text: str, at: int, end: int) -> Iterator[Span]:
+    """People behind what the anchor begins: a comment, a quote, or a word that names people; its last character is their first."""
+    if text[at].isalnum() and at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_-."):
+        return
+    yield from _person_at(text, end - 1)
+
+
+def _acted(text: str, at: int, end: int) -> Iterator[Span]:
+    """People before what they do, `and` and others between or not."""
+    first, last = -1, -1
+    for m in _PAIR.finditer(text, max(0, at - 100), at):
+        if not (more := _ANOTHER.match(text, last)) or more.end() != m.start():
+            first = m.start()
+        last = m.end()
+    if last == at or (last >= 0 and _DOES.match(text, last, min(len(text), end + 12))):
+        yield from _person_at(text, first)
 
 
 def _beside(text: str, at: int, end: int) -> Iterator[Span]:
@@ -293,13 +351,14 @@ def anchors() -> list[tuple[str, Callable]]:
     out += [(x, _email) for spelling in AT_SPELLINGS for x in cased(spelling)]
     out += [(a + s + b, _numbers) for a in digits for b in digits for s in "-. /"]
     out += [(a + b, _numbers) for a in "+(" for b in digits]
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    letters = CAPITALS[:26]
     out += [(a + s + b, _letters) for a in letters for b in digits for s in ("", " ")]
     out += [(f" {x}{e}", _address) for x in STREET_TYPES for e in (",", ".,")]
-    out += [(f"{x} ", _address) for x in (*STREET_OPENERS, *STREET_ENDINGS)]
+    out += [(f"{x} ", _address) for x in (*STREET_OPENERS, *map(str.lower, STREET_OPENERS), *STREET_ENDINGS)]
     out += [(x, _labelled) for label in NAME_LABELS for x in cased(label)]
-    out += [(x, _followed) for x in NAME_FOLLOWERS]
-    out += [(x, _commented) for x in COMMENTS]
+    out += [(f" {x} ", _acted) for x in DOING]
+    out += [(opener + a, _opened) for opener in (*COMMENTS, '"', "'") for a in CAPITALS]
+    out += [(f"{w}{gap}{a}", _opened) for x in ADDRESSING for w in {x, x.capitalize(), x.upper()} for gap in (" ", ": ", ". ") for a in CAPITALS]
     out += [(x, _given) for name in GIVEN_NAMES for x in (name, name.upper())]
     return out
 

@@ -40,7 +40,7 @@ from tilery.plans.session import durable
 #: Least cosine of an accepted entry, and its least lead over the next one.
 THRESHOLD, MARGIN = 0.3, 0.06
 #: A feature that more than one in COMMON entries hold is common, of at most BITS of them.
-COMMON, BITS = 8, 56
+COMMON, BITS = 8, 40
 #: Words of more than one in SHARED entries may be missing in a value, whatever is asked of the others.
 SHARED = 4
 #: The index is broadcast up to so many (feature, entry) rows, and joined in a shuffle beyond.
@@ -156,15 +156,21 @@ def _sum_of_bits(bits: Column, worth: list[float]) -> Column:
     return out
 
 
-def _covered(value: Column, entry: Column, entries: DataFrame, cover: float) -> Column:
-    """Whether the value has enough features of every distinctive word of the entry, or of every word if none is."""
+def _asked_words(entries: DataFrame) -> DataFrame:
+    """(entry_id, asked): the features of every distinctive word of an entry, or of every word if none is."""
     words = entries.select(F.explode(F.array_distinct(F.split("entry", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # at most SHARED times the words of a mean entry
     shared = [r[0] for r in words.where(F.col("n") > max(entries.count() / SHARED, 1)).collect()]
-    own = F.split(entry, " ")
+    own = F.split("entry", " ")
     distinctive = F.filter(own, lambda w: ~w.isin(shared)) if shared else own
-    enough = lambda w: F.size(F.array_intersect(features(w), features(value))) >= cover * F.size(features(w))
-    return F.forall(F.when(F.size(distinctive) > 0, distinctive).otherwise(own), enough)
+    return entries.select("entry_id", F.transform(F.when(F.size(distinctive) > 0, distinctive).otherwise(own), features).alias("asked"))
+
+
+def _covered(chosen: DataFrame, entries: DataFrame, cover: float) -> DataFrame:
+    """The rows (value, entry_id) whose value has enough features of every word that its entry asks for."""
+    # a list of one, so that the features of a value are made once and not again for every word
+    enough = F.exists(F.array(features(F.col("value"))), lambda grams: F.forall("asked", lambda w: F.size(F.array_intersect(w, grams)) >= cover * F.size(w)))
+    return chosen.join(_asked_words(entries), "entry_id").where(enough).drop("asked")
 
 
 def map_values(
@@ -184,9 +190,9 @@ def map_values(
     first = F.max_by(F.struct("entry_id", "cosine"), F.col("cosine") - F.col("rank"))
     ranked = best.groupBy("value_id").agg(first.alias("best"), F.max(F.when(F.col("rank") == 2, F.col("cosine"))).alias("next"))
     clear = (F.col("best.cosine") >= threshold) & (F.col("next").isNull() | (F.col("best.cosine") - F.col("next") >= margin))
-    chosen = ranked.where(clear).select("value_id", "best.entry_id", "best.cosine").join(texts, "value_id").join(listed, "entry_id")
+    chosen = ranked.where(clear).select("value_id", "best.entry_id", "best.cosine").join(texts, "value_id")
     if cover > 0:
-        chosen = chosen.where(_covered(F.col("value"), F.col("entry"), listed, cover))
+        chosen = _covered(chosen, listed, cover)
     chosen = chosen.select("value", "entry_id", "cosine")
     kind = entries.schema[entry_key].dataType
     return typed.join(chosen, "value", "left").select(

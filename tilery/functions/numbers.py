@@ -7,9 +7,11 @@ passed over and not counted; `hundred` is withheld where only a final unit follo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ class NumberGrammar:
         self.tens = {key(w): v for w, v in TENS.items()}
         self.magnitudes = {key(w): m for w, m in MAGNITUDES.items()}
         self.a, self.conjunction, self.hundred, self.zero = (key(w) for w in ("a", "and", "hundred", "zero"))
+        #: What a number can begin with.
+        self.first = {self.a, self.zero, *self.units, *self.tens}
 
     def __call__(self, words: Sequence) -> list[Match]:
         if len(words) and words[0] == self.zero:
@@ -101,11 +105,15 @@ class NumberGrammar:
 MATCHES = T.ArrayType(T.StructType([T.StructField("value", T.LongType()), T.StructField("length", T.IntegerType())]))
 
 
-@F.pandas_udf(MATCHES)
-def number_matches(words: pd.Series) -> pd.Series:
-    """All numbers at the head of a list of words; null for a null list."""
-    read = NumberGrammar()
-    return words.map(lambda x: None if x is None else [{"value": v, "length": n} for v, n in read(list(x))])
+def number_matches(words: Column | str, grammar: Callable[[list], list[Match]] | None = None) -> Column:
+    """All numbers at the head of a list of words, or of hashes if that is what the grammar reads; null for a null list."""
+    read = grammar or NumberGrammar()
+
+    def matches(lists: pa.Array) -> pa.Array:
+        found = [None if x is None else [{"value": v, "length": n} for v, n in read(x)] for x in lists.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("value", pa.int64()), ("length", pa.int32())])))
+
+    return F.arrow_udf(matches, MATCHES)(words)
 
 
 def number_words(value: int) -> str:

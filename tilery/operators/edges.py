@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilery.functions.matchers import PREFIX, RELAXED, exact_prefix_column, levenshtein_column, score_column
-from tilery.functions.numbers import number_matches
+from tilery.functions.matchers import EXACT, PREFIX, REGISTRY, RELAXED, exact_prefix_column, registered_score_column, relaxed_score_column, score_column
+from tilery.functions.numbers import NumberGrammar, number_matches
+from tilery.functions.terms import RANGE
 from tilery.plans.session import shuffle_partitions
 from tilery.schemas import NUMBER_BASE, UNKNOWN_ID
 
@@ -14,35 +15,38 @@ _EDGE = ("query_id", "start", "ord", "score", "length", "token_id")
 
 
 def tails(utterances: DataFrame) -> DataFrame:
-    """(query_id, start, hash, tail) for every position of utterances (query_id, hashes)."""
-    at = utterances.select("query_id", "hashes", F.posexplode("hashes").alias("start", "hash"))
-    return at.select("query_id", "start", "hash", F.slice("hashes", F.col("start") + 1, F.size("hashes")).alias("tail"))
+    """(query_id, start, hash, tail) for every position of utterances (query_id, hashes); with `below`, the domains each term
+    is downstream of, also its tail, below_tail."""
+    names = [("hashes", "tail")] + [("below", "below_tail")] * ("below" in utterances.columns)
+    at = utterances.select("query_id", *(c for c, _ in names), F.posexplode("hashes").alias("start", "hash"))
+    return at.select("query_id", "start", "hash", *(F.slice(c, F.col("start") + 1, F.size(c)).alias(tail) for c, tail in names))
 
 
 def candidates(positions: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, start, hash, tail, alias_id, place): each position with each occurrence of its term in an alias.
+    """Each position with each occurrence (hash, alias_id) of its term in an alias.
 
     An equi-join on the hash: Spark broadcasts postings that are small enough by their size, and splits hot hashes
-    of large ones at run time."""
-    lists = postings.select("hash", "alias_ids")
-    return positions.join(lists, "hash").select(*positions.columns, F.posexplode("alias_ids").alias("place", "alias_id"))
-
-
-def match_edges(found: DataFrame, aliases: DataFrame, downstream: DataFrame) -> DataFrame:
-    """Scored edges of candidates: matched by the alias's own matcher, without empty and rejected matches."""
-    below = downstream.groupBy("domain").agg(F.collect_set("hash").alias("below"))
-    known = aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix")).join(below, "domain", "left")
-    rows = found.join(known, "alias_id")
-    nothing = F.array().cast("array<bigint>")
-    rows = rows.withColumn("below", F.coalesce("below", nothing))
-    relaxed = rows.where(F.col("matcher") == RELAXED).withColumn("diff", levenshtein_column("tail", "prefix", "below"))
-    exact = rows.where(F.col("matcher") != RELAXED)
-    exact = exact.withColumn("diff", exact_prefix_column(F.col("tail"), F.col("prefix"), F.col("matcher") == PREFIX, F.col("below")))
-    columns = [*rows.columns, "diff"]
-    both = relaxed.select(*columns).unionByName(exact.select(*columns))
-    scored = both.withColumn("s", score_column(F.col("diff"), F.col("prefix"), F.col("below"))).select(
-        "query_id", "start", (F.col("place") + 1).cast("bigint").alias("ord"), "s.score", "s.length", F.col("alias_id").alias("token_id")
-    )
+    of large ones at run time; no list of them is ever held in a row."""
+    return positions.join(postings.select("hash", "alias_id"), "hash")
+
+
+def match_edges(found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Scored edges of candidates: matched by the alias's own matcher, without empty and rejected matches.
+
+    Which terms are downstream comes as one flag a term."""
+    known = aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix"))
+    flags = F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain")))
+    rows = found.join(known, "alias_id").withColumn("flags", flags)
+    tail, prefix, flags = F.col("tail"), F.col("prefix"), F.col("flags")
+    diff = exact_prefix_column(tail, prefix, F.col("matcher") == PREFIX, flags=F.zip_with(flags, tail, lambda f, t: f | (t >= RANGE)))
+    by_place = rows.where(F.col("matcher").isin(EXACT, PREFIX)).withColumn("diff", diff)
+    by_place = by_place.withColumn("s", score_column(F.col("diff"), prefix, query=tail, flags=flags)).drop("diff")
+    relaxed = rows.where(F.col("matcher") == RELAXED).withColumn("s", relaxed_score_column(tail, prefix, flags))
+    both = by_place.unionByName(relaxed)
+    if others := [m for m in REGISTRY if m not in (EXACT, PREFIX, RELAXED)]:
+        own = rows.where(F.col("matcher").isin(*others))
+        both = both.unionByName(own.withColumn("s", registered_score_column(F.col("matcher"), tail, prefix, flags)))
+    scored = both.select("query_id", "start", (F.col("alias_id") + 1).alias("ord"), "s.score", "s.length", F.col("alias_id").alias("token_id"))
     return scored.where((F.col("score") > 0) & (F.col("length") > 0))
 
 
@@ -53,10 +57,14 @@ def unknown_edges(positions: DataFrame) -> DataFrame:
     )
 
 
-def number_edges(words: DataFrame) -> DataFrame:
-    """Edges of all numbers at every position of (query_id, words): the score is the number of words."""
-    at = words.select("query_id", "words", F.posexplode("words").alias("start", "word"))
-    at = at.select("query_id", "start", number_matches(F.slice("words", F.col("start") + 1, F.size("words"))).alias("found"))
+def number_edges(utterances: DataFrame, terms: str = "words", grammar: NumberGrammar | None = None) -> DataFrame:
+    """Edges of all numbers at every position of (query_id, terms): the score is the number of terms. The grammar reads the
+    terms; only tails that begin as a number can go to it."""
+    grammar = grammar or NumberGrammar()
+    at = utterances.select("query_id", terms, F.posexplode(terms).alias("start", "term"))
+    first = getattr(grammar, "first", None)
+    at = at.where(F.col("term").isin(*first)) if first else at
+    at = at.select("query_id", "start", number_matches(F.slice(terms, F.col("start") + 1, F.size(terms)), grammar).alias("found"))
     rows = at.select("query_id", "start", F.posexplode("found").alias("place", "m"))
     return rows.select(
         "query_id", "start", (F.lit(1 << 40) + F.col("place")).alias("ord"), F.col("m.length").cast("double").alias("score"),
@@ -87,14 +95,16 @@ def edge_lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """(query_id, edge_lists): for every utterance (query_id, n) an array over its positions of edges, best first.
 
     What is gathered in a row are the edges of one utterance."""
-    usable = edges.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("length") > 0))
+    usable = edges.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("length") > 0) & (F.col("start") >= 0))
     # all that follows is by utterance, so one shuffle does; solving graphs is dear for its bytes
     usable = usable.repartition(shuffle_partitions(edges.sparkSession), "query_id")
-    entry = F.struct((-F.col("score")).alias("worst"), "ord", "score", "length", "token_id")
-    lists = usable.groupBy("query_id", "start").agg(F.array_sort(F.collect_list(entry)).alias("list"))
-    lists = lists.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "list"))).alias("at"))
+    entry = F.struct("start", (-F.col("score")).alias("worst"), "ord", "score", "length", "token_id")
+    lists = usable.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     plain = lambda x: F.struct(x["score"].alias("score"), x["length"].alias("length"), x["token_id"].alias("token_id"))
     none = F.array().cast("array<struct<score:double,length:int,token_id:bigint>>")
     places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    row = F.transform(places, lambda i: F.coalesce(F.transform(F.try_element_at("at", i), plain), none))
-    return sizes.join(lists, "query_id", "left").select("query_id", row.alias("edge_lists"))
+    # edges of a place stand together, so each list is a slice
+    counts = F.transform(places, lambda i: F.coalesce(F.size(F.filter("all", lambda e: e["start"] == i)), F.lit(0)))
+    ends = F.aggregate("counts", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c)))
+    row = F.zip_with("counts", F.slice("ends", F.lit(1), F.size("counts")), lambda c, e: F.when(c > 0, F.transform(F.slice("all", e + 1, c), plain)).otherwise(none))
+    return sizes.join(lists, "query_id", "left").withColumn("counts", counts).withColumn("ends", ends).select("query_id", row.alias("edge_lists"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilery.functions.matchers import EXACT, PREFIX, RELAXED
+from tilery.functions.matchers import REGISTRY, RELAXED
 
 # a bracket group, or a stretch of text; a bracket that belongs to no group is passed over
 _PIECES = r"(\[[^\[\]]*\]|\([^()]*\)|[^\[^()]+)"
@@ -38,10 +38,10 @@ def expand_pattern(pattern: Column) -> Column:
 
 
 def alias_matcher(expression: Column) -> Column:
-    """The matcher named before the first colon, relaxed if there is none; another name raises an error."""
+    """The matcher of the registry that is named before the first colon, relaxed if there is none; another name raises an error."""
     named = F.trim(F.substring_index(expression, ":", 1))
     unknown = F.raise_error(F.concat(F.lit("unknown matcher: "), named)).cast("string")
-    return F.when(F.instr(expression, ":") == 0, RELAXED).when(named.isin(EXACT, PREFIX, RELAXED), named).otherwise(unknown)
+    return F.when(F.instr(expression, ":") == 0, RELAXED).when(named.isin(*REGISTRY), named).otherwise(unknown)
 
 
 def alias_pattern(expression: Column) -> Column:

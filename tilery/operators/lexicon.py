@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilery.functions.numbers import VOCABULARY
+from tilery.functions.numbers import VOCABULARY, NumberGrammar
 from tilery.functions.terms import TermModel, dictionary
 from tilery.operators.expand import alias_matcher, alias_pattern, expand_pattern
 from tilery.operators.numbering import number_rows
@@ -30,25 +30,42 @@ def term_positions(frame: DataFrame, key: list[str], text: str, model: TermModel
     return frame.select(*key, F.posexplode(model.breaks(F.trim(F.col(text)))).alias("pos", "term"))
 
 
-def hashed(frame: DataFrame, key: list[str], text: str, model: TermModel) -> DataFrame:
-    """(key, terms, stems, hashes): arrays in term order. Stemming and hashing see distinct terms only."""
+def hashed(frame: DataFrame, key: list[str], text: str, model: TermModel, below: DataFrame | None = None) -> DataFrame:
+    """(key, terms, stems, hashes): arrays in term order. Stemming and hashing see distinct terms only.
+
+    With `below` (hash, domains) also `below`, for each term the domains it is downstream of: these are joined to the
+    distinct terms, before they meet the texts."""
     rows = term_positions(frame, key, text, model)
-    joined = rows.join(dictionary(rows, "term", model), "term")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "term", "stem", "hash")))
+    known, columns = dictionary(rows, "term", model), ["pos", "term", "stem", "hash"]
+    if below is not None:
+        known, columns = known.join(below, "hash", "left").withColumn("domains", F.coalesce("domains", F.array().cast("array<string>"))), [*columns, "domains"]
+    joined = rows.join(known, "term")
+    ordered = F.array_sort(F.collect_list(F.struct(*columns)))
     arrays = joined.groupBy(*key).agg(ordered.alias("t"))
-    return arrays.select(*key, F.col("t.term").alias("terms"), F.col("t.stem").alias("stems"), F.col("t.hash").alias("hashes"))
+    named = {"terms": "term", "stems": "stem", "hashes": "hash", "below": "domains"}
+    return arrays.select(*key, *(F.col(f"t.{c}").alias(name) for name, c in named.items() if c in columns))
 
 
 @dataclass
 class Lexicon:
     """aliases: one row an alias, with its id, terms, stems and hashes, of ingested domains only.
-    own: (domain, hash), the terms of every domain. number_terms: (hash) of number words. words: (term) of all domains."""
+    own: (domain, hash), the terms of every domain. number_terms: (hash) of number words. words: (term) of all domains.
+    number_keys: the hash of each number word, by which numbers are read."""
 
     aliases: DataFrame
     own: DataFrame
     number_terms: DataFrame
     words: DataFrame
     model: TermModel
+    number_keys: dict[str, int]
+
+    def numbers(self) -> NumberGrammar:
+        """The grammar of number words, over hashes: whatever stems alike reads alike."""
+        return NumberGrammar(self.number_keys.get)
+
+    def posting_rows(self) -> DataFrame:
+        """(hash, alias_id): a row for each occurrence of a term in an alias."""
+        return self.aliases.select("alias_id", F.explode("hashes").alias("hash"))
 
     def postings(self) -> DataFrame:
         """(hash, stem, alias_ids, frequency): one id per occurrence, in order of ids."""
@@ -58,6 +75,10 @@ class Lexicon:
         """(domain, hash): number terms and the terms of all other domains."""
         return downstream_terms(self.own, self.number_terms)
 
+    def below(self) -> DataFrame:
+        """(hash, domains): the domains that each term is downstream of; never more than MAX_DOMAINS."""
+        return self.downstream().groupBy("hash").agg(F.collect_set("domain").alias("domains"))
+
     def vocabulary(self) -> DataFrame:
         """(term): distinct raw terms of all domains and number words."""
         numbers = self.words.sparkSession.createDataFrame([(w,) for w in VOCABULARY], "term string")
@@ -72,9 +93,10 @@ def build_lexicon(items: DataFrame, domain_order: list[str], model: TermModel =
     own = everything.select("domain", F.explode("hashes").alias("hash")).distinct()
     words = everything.select(F.explode("terms").alias("term")).distinct()
     spoken = numbered.sparkSession.createDataFrame([(w,) for w in VOCABULARY], "term string")
-    numbers = dictionary(spoken, "term", model).select("hash").distinct()
+    keys = {r["term"]: r["hash"] for r in dictionary(spoken, "term", model).collect()}
+    numbers = numbered.sparkSession.createDataFrame([(h,) for h in sorted(set(keys.values()))], "hash bigint")
     ingested = everything.where(~F.col("domain").isin(*not_ingested)) if not_ingested else everything
-    return Lexicon(ingested, own, numbers, words, model)
+    return Lexicon(ingested, own, numbers, words, model, keys)
 
 
 def postings(aliases: DataFrame) -> DataFrame:

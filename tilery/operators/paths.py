@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,17 +115,35 @@ def lattice_matches(
     return best
 
 
-_ARROW_PATHS = pa.list_(pa.list_(pa.struct([("score", pa.float64()), ("length", pa.int32()), ("token_id", pa.int64())])))
+def _edges(graphs: pa.Array) -> Iterator[list[list[Edge]]]:
+    """The edge lists of each graph, read from the flat children of the array; null lists are empty."""
+    lists = graphs.flatten()
+    flat = lists.flatten()
+    score, length, token = (flat.field(name).to_numpy(zero_copy_only=False).tolist() for name in ("score", "length", "token_id"))
+    edges = list(zip(score, length, token))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    ends = np.append(0, np.cumsum(sizes)).tolist()
+    rows = [edges[a:b] for a, b in zip(ends, ends[1:])]
+    at = 0
+    for n in np.asarray(pc.fill_null(pc.list_value_length(graphs), 0)).tolist():
+        yield rows[at : at + n]
+        at += n
 
 
 def _solver(solve, most: int | None):
     def rows(graphs: pa.Array) -> pa.Array:
-        out = []
-        for graph in graphs.to_pylist():
-            lists = [[(e["score"], e["length"], e["token_id"]) for e in edges or ()] for edges in graph or ()]
-            paths = ([{"score": s, "length": n, "token_id": t} for s, n, t in path] for path in solve(lists))
-            out.append(list(islice(paths, most)))
-        return pa.array(out, _ARROW_PATHS)
+        paths, sizes, flat = [], [], []
+        for lists in _edges(graphs):
+            own = list(islice(solve(lists), most))
+            paths.append(len(own))
+            for path in own:
+                sizes.append(len(path))
+                flat += path
+        columns = list(zip(*flat)) or [(), (), ()]
+        kinds = (pa.float64(), pa.int32(), pa.int64())
+        structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["score", "length", "token_id"])
+        offsets = lambda counts: pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets(paths), pa.ListArray.from_arrays(offsets(sizes), structs))
 
     return F.arrow_udf(rows, PATHS)
 

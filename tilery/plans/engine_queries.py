@@ -231,7 +231,7 @@ def _input_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _name_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "catalog_items").select(_c("pid").alias("alias_id"), F.transform(word_break(_c("name")), strip_plural).alias("stems"))
-    return L.postings(aliases.withColumn("hashes", _c("stems")))
+    return aliases.select("alias_id", F.explode("stems").alias("hash"))
 
 
 @query(f"SELECT pid, count(*) AS positions, count(DISTINCT case_id) AS cases FROM {_INPUT_WORDS} JOIN {_NAME_POSTINGS} USING (hash) GROUP BY pid")
@@ -256,7 +256,8 @@ def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, decoded): terms of inputs by the index's dictionary, marked where it has none."""
     terms = _input_positions(spark, sf_dir).select("hash").distinct()
-    joined = terms.join(_name_postings(spark, sf_dir).select("hash", "stem"), "hash", "left")
+    known = _name_postings(spark, sf_dir).select("hash", _c("hash").alias("stem")).distinct()
+    joined = terms.join(known, "hash", "left")
     return joined.select(_c("hash").alias("term"), decode(_c("hash"), _c("stem")).alias("decoded"))
 
 
@@ -532,7 +533,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = cases.select("input").distinct()
     lexicon = shop.shop_lexicon(spark, sf_dir, TermModel())
     said = inputs.withColumn("said", speech_text(_c("input"))).repartition(shuffle_partitions(spark))
-    tiled = pipeline.tile_local(said, "input", "said", lexicon)
+    tiled = pipeline.tile(said, "input", "said", lexicon)
     return pipeline.token_strings(tiled, "input", pipeline.token_table(lexicon, shop.KINDS))
 
 
@@ -565,7 +566,7 @@ def utterance_relevance_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")
     tests = cases.join(_expected(cases), "case_id", "left").withColumn("said", speech_text(_c("input")))
     tests = tests.repartition(shuffle_partitions(spark))
-    judged = pipeline.accepts_local(tests, "case_id", "said", "wanted", shop.shop_lexicon(spark, sf_dir), shop.KINDS)
+    judged = pipeline.accepts(tests, "case_id", "said", "wanted", shop.shop_lexicon(spark, sf_dir), shop.KINDS)
     return R.tally(judged.join(cases.select("case_id", "priority"), "case_id"), "priority")
 
 

@@ -4,11 +4,12 @@ import os
 
 import pytest
 
-from tilery.plans import engine_queries, packed_queries
+from tilery.plans import engine_queries, packed_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**engine_queries.QUERIES, **packed_queries.QUERIES}
-ORACLE = {**engine_queries.ORACLE, **packed_queries.ORACLE}
+MODULES = (engine_queries, packed_queries, text_queries)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 
 
 def plain(value):
@@ -67,17 +68,18 @@ def test_speech_of_every_input(spark, tmp_path):
         ("lookup", "size 42 boots"): "size forty two boots",
         ("lookup", "1/4 bolt, 10%"): "quarter bolt ten percent",
         (None, "‘x’"): "'x'",
+        ("lookup", "the “big” one"): "the big one",
         ("lookup", ""): "",
         ("lookup", None): None,
     }
     rows = [(i, kind, text) for i, (kind, text) in enumerate(cases)]
     spark.createDataFrame(rows, "case_id long, kind string, input string").write.parquet(f"{tmp_path}/test_cases.parquet")
-    got = {r["case_id"]: r["said"] for r in QUERIES["speech_normalised"](spark, str(tmp_path)).collect()}
+    got = {r["case_id"]: r["said"] for r in QUERIES["speech_filter"](spark, str(tmp_path)).collect()}
     assert got == {i: said for i, said in enumerate(cases.values()) if said is not None}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_speech_leaves_no_input_out(spark):
     inputs = spark.read.parquet(f"{SF}/test_cases.parquet").where("input IS NOT NULL")
-    said = QUERIES["speech_normalised"](spark, SF)
+    said = QUERIES["speech_filter"](spark, SF)
     assert said.count() == inputs.count() and said.where(r"said IS NULL OR said RLIKE '(^| )[0-9]+( |$)'").count() == 0

@@ -318,6 +318,16 @@ def registered_score_column(matcher: Column, query: Column, prefix: Column, flag
     return F.arrow_udf(scores, SCORED)(matcher, query, prefix, flags)
 
 
+def match_string_column(query: Column | str, prefix: Column | str, matcher: str) -> Column:
+    """A matcher over the code points of two strings: struct (match, cost, leftmost, rightmost, alignments)."""
+    query, prefix = (F.col(x) if isinstance(x, str) else x for x in (query, prefix))
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    q, p = (F.transform(chars(x), lambda c: F.ascii(c).cast("bigint")) for x in (query, prefix))
+    diff = levenshtein_column(q, p) if matcher == RELAXED else exact_prefix_column(q, p, matcher == PREFIX)
+    text = F.array_join(F.transform(diff["match"], lambda code: F.get(chars(query), (F.array_position(q, code) - 1).cast("int"))), "")
+    return F.struct(text.alias("match"), *(diff[c].alias(c) for c in ("cost", "leftmost", "rightmost", "alignments")))
+
+
 def score_factors(diff: Column) -> Column:
     """The factors of a score: struct (match_factor, common_factor, position_factor, length_factor), for tracing."""
     length, size = diff["rightmost"] + 1, F.size(diff["match"])

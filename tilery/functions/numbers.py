@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,7 +144,29 @@ def number_words(value: int) -> str:
     return ", ".join(parts)
 
 
-@F.pandas_udf(T.StringType())
-def digits_to_words(values: pd.Series) -> pd.Series:
-    """A number in words, with its first hyphen as a blank and its first comma left out; null stays null."""
-    return values.map(lambda x: None if pd.isna(x) else number_words(int(x)).replace("-", " ", 1).replace(",", "", 1))
+def _below_thousand() -> list[str]:
+    return ["", *(number_words(n) for n in range(1, 1000))]
+
+
+def digits_to_words(value: Column | str) -> Column:
+    """A number in words, with its first hyphen as a blank and its first comma left out; null stays null. Expressions over a
+    table of the words below a thousand."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("bigint")
+    # one literal after constant folding
+    small, names = F.split(F.lit(",".join(_below_thousand())), ","), {m: w for w, m in MAGNITUDES.items()}
+
+    def join(periods: list[Column]) -> Column:
+        return F.array_join(F.array_compact(F.array(*periods)), ", ")
+
+    def period(n: Column, magnitude: int) -> Column:
+        words = F.get(small, (F.floor(n / 10**magnitude) % 1000).cast("int"))
+        return F.when(words != "", F.concat(words, F.lit(f" {names[magnitude]}")) if magnitude else words)
+
+    def spell(n: Column) -> Column:
+        rest = n % 10**12
+        trillions = ((n - rest) / 10**12).cast("bigint")
+        head = F.when(trillions > 0, F.concat(join([period(trillions, m) for m in (6, 3, 0)]), F.lit(" trillion")))
+        return F.when(n == 0, F.lit("zero")).otherwise(join([head, *(period(rest, m) for m in (9, 6, 3, 0))]))
+
+    words = F.concat(F.when(value < 0, F.lit("minus ")).otherwise(F.lit("")), spell(F.abs(value)))
+    return F.regexp_replace(F.regexp_replace(words, "^([^-]*)-", "$1 "), "^([^,]*),", "$1")

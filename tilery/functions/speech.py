@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tilery.functions.numbers import number_words
+from tilery.functions.numbers import digits_to_words
 
 # Fixed values.
 SPOKEN = {"okay": "ok", "1/2": "half", "1/4": "quarter"}
 
 
-def speech_text(text: Column, digits: bool = True) -> Column:
-    """Speech text as utterance words, in this order: the first & and % spelt out, curly single quotes made straight,
-    punctuation to blanks, blanks collapsed, whole numbers in words (unless digits=False), words replaced by
+def speech_text(text: Column) -> Column:
+    """Speech text as utterance words, in this order: the first & and % spelt out, curly quotes made straight,
+    punctuation to blanks, blanks collapsed, whole numbers in words, words replaced by
     SPOKEN. Null stays null."""
     out = F.regexp_replace(text, "^([^&]*)&", "$1 and ")
     out = F.regexp_replace(out, "^([^%]*)%", "$1 percent ")
-    out = F.regexp_replace(out, "[‘’]", "'")
+    out = F.regexp_replace(F.regexp_replace(out, "[‘’]", "'"), "[“”]", '"')
     out = F.regexp_replace(out, r'[,.?!"\-()]', " ")
     out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
     spoken = F.create_map(*[F.lit(x) for pair in SPOKEN.items() for x in pair])
     words = F.transform(F.split(out, " "), lambda w: F.coalesce(F.try_element_at(spoken, F.lower(w)), w))
-    if not digits:
-        return F.array_join(words, " ")
-    # numbers go to Python as one list per row, and only those
-    return _with_numbers(words)
-
-
-def _with_numbers(words: Column) -> Column:
-    def spell(lists: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            said = (number_words(int(w)).replace("-", " ", 1).replace(",", "", 1) if w.isascii() and w.isdigit() else w for w in x)
-            return " ".join(said)
-
-        return lists.map(one)
-
-    udf = F.pandas_udf(spell, T.StringType())
-    has_digits = F.exists(words, lambda w: w.rlike("^[0-9]+$"))
-    return F.when(has_digits, udf(F.when(has_digits, words))).otherwise(F.array_join(words, " "))
+    # a number of more digits than a bigint holds stays as it is
+    number = lambda w: F.when(w.rlike("^[0-9]{1,18}$"), digits_to_words(w)).otherwise(w)
+    return F.array_join(F.transform(words, number), " ")

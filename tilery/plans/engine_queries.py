@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tilery.functions.formatting import token_text
 from tilery.functions.matchers import exact_prefix_column, levenshtein_column, score_column, score_factors
-from tilery.functions.numbers import digits_to_words, number_matches
 from tilery.functions.speech import speech_text
 from tilery.functions.terms import TermModel, decode, dictionary, hash_of_stem, is_number_hash, is_token_hash, number_hash, strip_plural, word_break
 from tilery.operators import edges as E
@@ -305,45 +304,7 @@ def levenshtein_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(matched, ["query", "prefix"]).select("l_orderkey", "diff.cost", "diff.leftmost", "diff.rightmost", F.round("s.score", 6).alias("score"))
 
 
-# --- numbers, speech, formats ----------------------------------------------------------------------------------------
-
-
-@query("SELECT DISTINCT CAST(l_suppkey % 1000 AS BIGINT) AS value, CAST(l_suppkey % 1000 AS BIGINT) AS parsed FROM lineitem")
-def number_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value, parsed): numbers below 1000 to words and back by the number grammar."""
-    values = table(spark, sf_dir, "lineitem").select((_c("l_suppkey") % 1000).alias("value")).distinct()
-    read = number_matches(F.split(F.regexp_replace(digits_to_words("value"), "-", " "), " "))
-    return values.withColumn("m", read).select("value", F.element_at("m", -1)["value"].alias("parsed"))
-
-
-@query(
-    """SELECT DISTINCT CAST(p_size AS BIGINT) AS value, CAST(CASE WHEN p_size > 20 AND p_size % 10 <> 0 THEN 2 ELSE 1 END AS INTEGER) AS length,
-    CAST(CASE WHEN p_size > 20 AND p_size % 10 <> 0 THEN 2 ELSE 1 END AS DOUBLE) AS score FROM part WHERE p_size < 100"""
-)
-def number_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value, length, score): the longest number edge at the start of each spelt-out part size."""
-    sizes = table(spark, sf_dir, "part").select("p_size").where("p_size < 100").distinct()
-    words = sizes.select(_c("p_size").alias("query_id"), F.split(F.regexp_replace(digits_to_words("p_size"), "-", " "), " ").alias("words"))
-    edges = E.number_edges(words).where("start = 0")
-    best = edges.groupBy("query_id").agg(F.max_by(F.struct("token_id", "length", "score"), "length").alias("e"))
-    return best.select((F.lit(-2).cast("bigint") - _c("e.token_id")).alias("value"), "e.length", "e.score")
-
-
-@query(
-    r"""SELECT case_id, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(input, '&', ' and '), '%', ' percent '), '‘', ''''), '’', ''''),
-    '[,.?!"\-()]', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM test_cases WHERE input IS NOT NULL AND kind = 'order' AND NOT regexp_matches(lower(input), 'okay|1/2|1/4')"""
-)
-def speech_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, said): order inputs through the speech normaliser as far as SQL can follow: numbers left as they are, no
-    rows with a word of SPOKEN. speech_normalised is the whole of it."""
-    cases = table(spark, sf_dir, "test_cases").where("input IS NOT NULL AND kind = 'order' AND NOT lower(input) RLIKE 'okay|1/2|1/4'")
-    return cases.select("case_id", speech_text(_c("input"), digits=False).alias("said"))
-
-
-@query()
-def speech_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, said): every input through the whole speech normaliser, number words and SPOKEN included."""
-    return table(spark, sf_dir, "test_cases").where("input IS NOT NULL").select("case_id", speech_text(_c("input")).alias("said"))
+# --- formats ----------------------------------------------------------------------------------------
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.schemas import ITEM, TEST_CASE
@@ -85,6 +85,24 @@ def items_from_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def _problems(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(wrong, F.lit(what)) for what, wrong in checks.items()]))
+    return rows.select(key, F.explode(found).alias("problem"))
+
+
+def invalid_items(items: DataFrame, key: str) -> DataFrame:
+    """(key, problem): what is wrong with item rows (pid, name, aliases), by the rules of check_items; no row for a valid one."""
+    holes = F.coalesce(F.exists("aliases", lambda a: a.isNull()), F.lit(True))
+    checks = {"name must be a string": F.col("name").isNull(), "aliases must be a list of strings": holes, "pid must be a number": F.col("pid").isNull()}
+    return _problems(items, key, checks)
+
+
+def invalid_tests(tests: DataFrame, key: str) -> DataFrame:
+    """(key, problem): what is wrong with rows of test cases, by the rules of check_tests; no row for a valid one."""
+    checks = {"priority must be an integer": F.col("priority").isNull()}
+    return _problems(tests, key, checks | {f"{c} must be a string": F.col(c).isNull() for c in ("suites", "input", "expected")})
+
+
 def stop_words(spark: SparkSession, path: str) -> DataFrame:
     """(text) of each line, trimmed; blank lines stay as empty texts."""
     return spark.read.text(path).select(F.trim("value").alias("text"))

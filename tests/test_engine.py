@@ -175,7 +175,9 @@ def test_spans(spark):
 def test_graph_by_boundaries(spark):
     edges = spark.createDataFrame([(1, 0, 1, 5, 1.0), (1, 0, 1, 5, 2.0), (1, 0, 1, 6, 1.0), (2, 3, 2, 5, 1.0)], "g int, from int, to int, token int, score double")
     assert {(r["to"], r["in_degree"]) for r in P.in_degrees(edges).collect()} == {(1, 2), (2, 1)}
-    assert {tuple(r) for r in P.is_dag(edges, "g").collect()} == {(1, True), (2, False)}
+    cycles = edges.unionByName(spark.createDataFrame([(3, 0, 1, 5, 1.0), (3, 1, 2, 5, 1.0), (3, 2, 0, 5, 1.0), (4, 1, 1, 5, 1.0)], edges.schema))
+    assert {tuple(r) for r in P.is_dag(cycles, "g").collect()} == {(1, True), (2, True), (3, False), (4, False)}
+    assert {tuple(r) for r in P.vertex_counts(cycles, "g").collect()} == {(1, 2), (2, 2), (3, 3), (4, 1)}
     assert {r["score"] for r in P.add_edges(edges).where("token = 5 and to = 1").collect()} == {2.0}
 
 
@@ -264,10 +266,69 @@ def test_lattice_matches():
     assert P.lattice_matches(graph, 1, [99]) == {}
 
 
-def test_any_path_is_accepted(spark, lexicon):
+def test_lattices_in_frames(spark):
+    graphs = [[[(0.0, 1, 7)], [(0.0, 1, 8), (0.0, 2, 9)], [(0.0, 1, 10)]], [], [[(0.0, 1, 7)]]]
+    kind = "id long, g array<array<struct<score:double,length:int,token_id:long>>>, p array<long>"
+    frame = spark.createDataFrame([(i, g, [7, 8]) for i, g in enumerate(graphs)], kind)
+    got = {r["id"]: {m["end"]: m["score"] for m in r["m"]} for r in frame.select("id", P.lattice_matches_column("g", F.lit(0), F.col("p")).alias("m")).collect()}
+    assert got == {i: P.lattice_matches(g, 0, [7, 8]) for i, g in enumerate(graphs)} and got[0] == {2: 2.0, 3: 0.5}
+
+
+def _both(spark, lexicon, said, **options):
+    frame = spark.createDataFrame(list(enumerate(said)), "id long, said string")
+    kinds = {"entities": "ENTITY", "quantifiers": "QUANTIFIER", "intents": "INTENT"}
+    for form in (pipeline.tile_local, pipeline.tile_relational):
+        tiled = form(frame, "id", "said", lexicon, **options)
+        yield {r["id"]: r["observed"] for r in pipeline.token_strings(tiled, "id", pipeline.token_table(lexicon, kinds)).collect()}
+
+
+def test_numbers_are_read_by_their_stems(spark, lexicon):
+    said = ["two hundreds red sedans", "Three Thousands", "twenty ones moon roof"]
+    want = {0: "[NUMBER:200] [ENTITY:RED_SEDAN,20]", 1: "[NUMBER:3000]", 2: "[NUMBER:21] [ENTITY:MOON_ROOF,30]"}
+    assert list(_both(spark, lexicon, said)) == [want, want]
+
+
+def test_another_number_parser(spark, lexicon):
+    dozen = TermModel().stem_and_hash("dozen")
+    numbers = lambda hashes: [(12, 1)] if hashes[:1] == [dozen] else []
+    want = {0: "[NUMBER:12] [ENTITY:MOON_ROOF,30]", 1: "[WORD:TWO] [ENTITY:MOON_ROOF,30]"}
+    assert list(_both(spark, lexicon, ["dozen moon roof", "two moon roof"], numbers=numbers)) == [want, want]
+
+
+def test_another_matcher(spark, monkeypatch):
+    """A matcher of the caller's own, by name, with an equality of its own: any term stands for `thing`."""
+    from tilery.functions.matchers import REGISTRY, exact_prefix
+
+    thing = TermModel().stem_and_hash("thing")
+    monkeypatch.setitem(REGISTRY, "loose", lambda q, p, downstream, token: exact_prefix(q, p, False, downstream, lambda a, b: b == thing or a == b))
+    items = spark.createDataFrame([("entities", 0, 20, "Any Roof", ["loose:moon thing roof"]), ("intents", 0, 1, "GO", ["exact:go"])], ITEM)
+    lexicon = L.build_lexicon(items, ["entities", "intents"], TermModel())
+    want = {0: "[GO] [ENTITY:ANY_ROOF,20]", 1: "[WORD:MOON] [WORD:ROOF]"}
+    assert list(_both(spark, lexicon, ["go moon shiny roof", "moon roof"])) == [want, want]
+
+
+def test_forms_agree_on_generated_utterances(spark, lexicon):
+    import random
+
+    random.seed(11)
+    words = "red two door sedan sedans crimson moon roof a the I'd like give me and with twenty one hundred thousand zebra 7 42 @x sedn".split()
+    said = [" ".join(random.choice(words) for _ in range(random.randint(1, 9))) for _ in range(150)]
+    local, relational = _both(spark, lexicon, said)
+    assert local == relational and len(local) == len(said)
+
+
+def test_index_beyond_the_local_form(spark, lexicon):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(SAID)], "id long, said string")
+    rows = lambda tiled: sorted((r["id"], [tuple(t) for t in r["tokens"]]) for r in tiled.collect())
+    assert pipeline.is_local(lexicon) and not pipeline.is_local(lexicon, 3)
+    assert rows(pipeline.tile(frame, "id", "said", lexicon, most=3)) == rows(pipeline.tile(frame, "id", "said", lexicon))
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_any_path_is_accepted(spark, lexicon, most):
     kinds = {"entities": "ENTITY", "quantifiers": "QUANTIFIER", "intents": "INTENT"}
     rows = [(1, "a red sedan", ["[QUANTIFIER:1]", "[ENTITY:RED_SEDAN,20]"]), (2, "a red sedan", ["[NUMBER:1]", "[ENTITY:RED_SEDAN,20]"]),
             (3, "a red sedan", ["[WORD:A]", "[WORD:RED]", "[WORD:SEDAN]"]), (4, "a red sedan", ["[ENTITY:RED_SEDAN,20]"]), (5, None, ["x"]), (6, "zebra", None)]
     tests = spark.createDataFrame(rows, "id int, said string, wanted array<string>")
-    got = {r["id"]: r["passed"] for r in pipeline.accepts_local(tests, "id", "said", "wanted", lexicon, kinds).collect()}
+    got = {r["id"]: r["passed"] for r in pipeline.accepts(tests, "id", "said", "wanted", lexicon, kinds, most).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}

@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from tilery.plans import engine_queries, packed_queries, text_queries
+from tilery.plans import engine_queries, graph_queries, packed_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-MODULES = (engine_queries, packed_queries, text_queries)
+MODULES = (engine_queries, packed_queries, text_queries, graph_queries)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 

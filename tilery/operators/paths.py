@@ -6,7 +6,7 @@ independent, so a row holds one and is solved by itself; nothing is exchanged be
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilery.functions.matchers import levenshtein, no_term, score
+from tilery.functions.matchers import align, groups, no_term, score_alignments
+from tilery.operators.edges import edge_lists
 from tilery.schemas import EDGE
 
 Edge = tuple[float, int, int]
@@ -95,13 +96,8 @@ def some_path_reads(edge_lists: list[list[Edge]], text_of: Callable[[Edge, int],
     return len(wanted) in read[n]
 
 
-def lattice_matches(
-    edge_lists: list[list[Edge]], start: int, prefix: list[int], downstream: Callable = no_term, token: Callable = no_term
-) -> dict[int, float]:
-    """Best score of a prefix along the paths of a lattice from a boundary, by the boundary that the match reaches.
-
-    The terms of a path are the token ids of its edges; each path is aligned by edit distance."""
-    best: dict[int, float] = {}
+def _walks(edge_lists: list[list[Edge]], start: int) -> Iterator[tuple[list[int], list[int]]]:
+    """(token ids, boundaries) of every path from a boundary that can't be continued."""
     stack: list[tuple[int, list[int], list[int]]] = [(start, [], [start])]
     while stack:
         at, terms, ends = stack.pop()
@@ -109,12 +105,37 @@ def lattice_matches(
         for edge in onward:
             stack.append((at + edge[1], [*terms, edge[2]], [*ends, at + edge[1]]))
         if terms and not onward:
-            value, length = score(prefix, levenshtein(terms, prefix, downstream, token), downstream)
-            if value is not None and value > 0:
-                best[ends[length]] = max(value, best.get(ends[length], value))
+            yield terms, ends
+
+
+def lattices_matches(lattices: Iterable[tuple[list[list[Edge]], int, list[int]]], downstream: Callable = no_term, token: Callable = no_term) -> list[dict[int, float]]:
+    """Of each lattice (edge lists, boundary, prefix) the best score of the prefix along the paths from the boundary, by the
+    boundary that the match reaches.
+
+    The terms of a path are the token ids of its edges; paths are aligned by edit distance, those of equal lengths together."""
+    best: list[dict[int, float]] = []
+    jobs: list[tuple[int, list[int], list[int], list[int]]] = []
+    for edge_lists, start, prefix in lattices:
+        jobs += [(len(best), terms, ends, prefix) for terms, ends in _walks(edge_lists, start)]
+        best.append({})
+    if not jobs:
+        return best
+    for rows in groups(np.array([len(j[1]) for j in jobs]), np.array([len(j[3]) for j in jobs])):
+        own = [jobs[i] for i in rows.tolist()]
+        q, p = np.array([j[1] for j in own], np.int64), np.array([j[3] for j in own], np.int64).reshape(len(own), -1)
+        down, fixed = (np.array([[bool(f(x)) for x in j[1]] for j in own], bool) for f in (downstream, token))
+        values, lengths = score_alignments(q, p, align(q[:, :, None] == p[:, None, :], down, fixed), down)
+        for (at, _, ends, _), value, length in zip(own, values.tolist(), lengths.tolist()):
+            if value > 0:
+                best[at][ends[length]] = max(value, best[at].get(ends[length], value))
     return best
 
 
+def lattice_matches(edge_lists: list[list[Edge]], start: int, prefix: list[int], downstream: Callable = no_term, token: Callable = no_term) -> dict[int, float]:
+    """`lattices_matches` of one lattice."""
+    return lattices_matches([(edge_lists, start, prefix)], downstream, token)[0]
+
+
 def _edges(graphs: pa.Array) -> Iterator[list[list[Edge]]]:
     """The edge lists of each graph, read from the flat children of the array; null lists are empty."""
     lists = graphs.flatten()
@@ -182,6 +203,61 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return add_edges(edges).groupBy("to").agg(F.count("*").alias("in_degree"))
 
 
+def vertex_counts(edges: DataFrame, key: str) -> DataFrame:
+    """(key, vertices): distinct boundaries that the edges of each graph touch."""
+    touched = edges.select(key, F.explode(F.array("from", "to")).alias("__v")).distinct()
+    return touched.groupBy(key).agg(F.count("*").alias("vertices"))
+
+
+def boundary_lists(edges: DataFrame, key: str) -> DataFrame:
+    """(query_id, edge_lists) of graphs (key, from, to, token, score) by their boundaries from 0 to the last one any edge
+    touches: the best of equal edges, best first, then by token. Edges that don't lead forward are on no path."""
+    best = edges.groupBy(F.col(key).alias("query_id"), "from", "to", "token").agg(F.max("score").alias("score"))
+    sizes = best.groupBy("query_id").agg(F.greatest(F.max("from"), F.max("to")).cast("int").alias("n"))
+    rows = best.select(
+        "query_id", F.col("from").cast("int").alias("start"), F.col("token").cast("bigint").alias("ord"), F.col("score").cast("double").alias("score"),
+        (F.col("to") - F.col("from")).cast("int").alias("length"), F.col("token").cast("bigint").alias("token_id"),
+    )
+    return edge_lists(rows, sizes)
+
+
 def is_dag(edges: DataFrame, key: str) -> DataFrame:
-    """(key, dag): whether all edges of a graph lead forward, which orders its boundaries."""
-    return edges.groupBy(key).agg(F.every(F.col("to") > F.col("from")).alias("dag"))
+    """(key, dag): whether the vertices of each graph (key, from, to) have a topological order, by taking away vertices
+    without edges into them until none is left. What a row gathers are the distinct edges of one graph."""
+    links = edges.groupBy(key).agg(F.collect_set(F.struct(F.col("from").cast("bigint").alias("f"), F.col("to").cast("bigint").alias("t"))).alias("__links"))
+
+    def ordered(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        starts, ends = (flat.field(c).to_pylist() for c in ("f", "t"))
+        cuts = np.append(0, np.cumsum(np.asarray(pc.list_value_length(lists)))).tolist()
+        return pa.array([_acyclic(list(zip(starts[a:b], ends[a:b]))) for a, b in zip(cuts, cuts[1:])], pa.bool_())
+
+    return links.select(key, F.arrow_udf(ordered, T.BooleanType())("__links").alias("dag"))
+
+
+def _acyclic(links: list[tuple[int, int]]) -> bool:
+    onward: dict[int, list[int]] = {}
+    into = dict.fromkeys((v for link in links for v in link), 0)
+    for start, end in links:
+        onward.setdefault(start, []).append(end)
+        into[end] += 1
+    free, left = [v for v, n in into.items() if not n], len(into)
+    while free:
+        left -= 1
+        for end in onward.get(free.pop(), ()):
+            into[end] -= 1
+            if not into[end]:
+                free.append(end)
+    return not left
+
+
+def lattice_matches_column(edge_lists: Column | str, start: Column, prefix: Column) -> Column:
+    """`lattice_matches` of the graph of each row: structs (end, score)."""
+
+    def rows(graphs: pa.Array, starts: pa.Array, prefixes: pa.Array) -> pa.Array:
+        found = lattices_matches(zip(_edges(graphs), starts.to_pylist(), prefixes.to_pylist()))
+        out = [[{"end": end, "score": value} for end, value in sorted(own.items())] for own in found]
+        return pa.array(out, pa.list_(pa.struct([("end", pa.int32()), ("score", pa.float64())])))
+
+    kind = T.ArrayType(T.StructType([T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    return F.arrow_udf(rows, kind)(edge_lists, start, prefix)

@@ -144,14 +144,6 @@ def matcher_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.select("pid", "alias", alias_matcher(_c("alias")).alias("matcher"), alias_pattern(_c("alias")).alias("pattern"))
 
 
-@query()
-def catalog_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(alias_id, domain, pid, matcher, text): every expanded alias of the catalogue with its dense id."""
-    rows = L.alias_rows(table(spark, sf_dir, "catalog_items"), ["bikes", "parts", "services"])
-    numbered = number_rows(rows, ["domain_ord", "ord", "pid", "alias_ord", "expand_ord"], "alias_id")
-    return numbered.select("alias_id", "domain", "pid", "matcher", "text")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) - 1 AS n FROM lineitem")
 def dense_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense numbers in a global order, without one task that sees all rows."""
@@ -294,16 +286,6 @@ def prefix_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, True)
 
 
-@query()
-def levenshtein_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, cost, leftmost, rightmost, score) of the relaxed matcher. Distinct pairs are matched once."""
-    rows = _pairs(spark, sf_dir)
-    distinct = rows.select("query", "prefix").distinct()
-    matched = distinct.withColumn("diff", levenshtein_column("query", "prefix", F.array().cast("array<bigint>")))
-    matched = matched.withColumn("s", score_column(_c("diff"), _c("prefix")))
-    return rows.join(matched, ["query", "prefix"]).select("l_orderkey", "diff.cost", "diff.leftmost", "diff.rightmost", F.round("s.score", 6).alias("score"))
-
-
 # --- formats ----------------------------------------------------------------------------------------
 
 
@@ -406,13 +388,6 @@ def first_maximal_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, P.maximal_paths_column("edge_lists", 1)).select("query_id", _c("score").alias("total"))
 
 
-@query()
-def maximal_tokenizations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, path_id, token_id, start, length, score): all paths of the greatest score as token spans."""
-    rows = _paths(spark, sf_dir, P.maximal_paths_column("edge_lists"))
-    return rows.select("query_id", "path_id", F.explode(P.spans(_c("path"))).alias("s")).select("query_id", "path_id", "s.*")
-
-
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (_c("l_partkey") % 50).alias("from"), (_c("l_partkey") % 50 + 1 + _c("l_suppkey") % 7).alias("to"), (_c("l_suppkey") % 11).alias("token"), _c("l_quantity").alias("score")
@@ -440,12 +415,6 @@ def graph_edges_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.add_edges(_graph(spark, sf_dir)).where(_c("from") == 7).select("to", "token", "score")
 
 
-@query(f'SELECT token, bool_and("to" > "from") AS dag FROM ({_GRAPH}) GROUP BY 1')
-def graph_is_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, dag): whether the edges of each token lead forward."""
-    return P.is_dag(_graph(spark, sf_dir), "token")
-
-
 # --- relevance -------------------------------------------------------------------------------------------------------
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY received_at DESC NULLS LAST, passed DESC NULLS LAST, elapsed_ms DESC NULLS LAST) AS rn

@@ -332,3 +332,47 @@ def test_any_path_is_accepted(spark, lexicon, most):
     tests = spark.createDataFrame(rows, "id int, said string, wanted array<string>")
     got = {r["id"]: r["passed"] for r in pipeline.accepts(tests, "id", "said", "wanted", lexicon, kinds, most).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_report(spark):
+    failing = spark.createDataFrame([("7", "x", "[A]", "[B]"), ("8", "y", None, None)], "name string, input string, expected string, observed string")
+    tallied = spark.createDataFrame([("b", 1, 2, "1"), ("a", 3, 3, "2")], "suite string, n_passed long, n_run long, priority string")
+    rows = R.report(failing, tallied.drop("priority"), tallied.drop("suite"), spark.createDataFrame([(4, 5)], "n_passed long, n_run long"))
+    lines = []
+    R.print_report(rows, lines.append)
+    assert lines == ["7 FAILED\n   input: x\nexpected: [A]\nobserved: [B]", "8 FAILED\n   input: y\nexpected: \nobserved: ", "a: 3/3", "b: 1/2", "1: 1/2", "2: 3/3", "overall: 4/5"]
+
+
+def test_logger(capsys, caplog):
+    from tilery.plans.session import logger
+
+    logger("x", interactive=True)("seen")
+    assert capsys.readouterr().out == "seen\n"
+    with caplog.at_level("DEBUG", logger="tilery.x"):
+        logger("x")("kept")
+    assert [r.message for r in caplog.records] == ["kept"]
+
+
+def test_only_one_machine_gets_a_folder_of_its_own():
+    from tilery.plans import session
+
+    class Context:
+        master, folder = "local-cluster[3,2,1024]", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def getConf(self):
+            return {}
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "file:///shared"}
+    session.ensure_checkpoint_dir(Session)
+    assert Session.sparkContext.folder == "file:///shared"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tilery.functions import matchers as M
 from tilery.functions.formatting import token_text
-from tilery.functions.numbers import NumberGrammar, number_matches, number_words
+from tilery.functions.numbers import NumberGrammar, digits_to_words, number_matches, number_words
 from tilery.functions.speech import speech_text
 from tilery.functions.stemming import stem_english
 from tilery.functions.terms import RANGE, TermModel, hash_stem, murmur3, stem_term, word_break
@@ -158,3 +158,24 @@ def test_token_text(spark):
     frame = spark.createDataFrame(rows, "k string, pid long, name string, value double, text string, want string")
     got = frame.select(token_text(F.col("k"), F.col("pid"), F.col("name"), F.col("value"), F.col("text")).alias("got"), "want").collect()
     assert all(r["got"] == r["want"] for r in got)
+
+
+def test_reader():
+    from tilery.functions.sequence import Reader
+
+    reader = Reader("ab")
+    assert reader.peek() == "a" and reader.get() == "a" and not reader.at_end()
+    assert not reader.skip(lambda x: x == "a") and reader.next_is(lambda x: x == "b") and reader.skip(lambda x: x == "b") and reader.at_end()
+    assert not reader.next_is(lambda x: True) and not reader.skip(lambda x: True)
+    for beyond in (reader.peek, reader.get):
+        with pytest.raises(TypeError):
+            beyond()
+
+
+@pytest.mark.parametrize("value, words", [
+    (0, "zero"), (21, "twenty one"), (99, "ninety nine"), (100, "one hundred"), (1050, "one thousand fifty"), (21_021, "twenty one thousand twenty-one"),
+    (1_002_003, "one million two thousand, three"), (999_999_999_999_999, None), (-5, "minus five"), (10**15, "one thousand trillion"), (9_223_372_036_854_775_807, None), (None, None),
+])
+def test_digits_to_words(spark, value, words):
+    got = spark.createDataFrame([(value,)], "v long").select(digits_to_words("v")).first()[0]
+    assert got == (words if words or value is None else number_words(value).replace("-", " ", 1).replace(",", "", 1))

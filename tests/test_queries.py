@@ -45,6 +45,18 @@ def test_against_sql(spark, name):
     compare(spark, name, QUERIES[name], ORACLE[name])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_forms_agree(spark):
+    local, relational = (sorted(map(tuple, QUERIES[name](spark, SF).collect())) for name in ("utterance_tokens", "utterance_tokens_relational"))
+    assert local == relational and local
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_order_inputs_are_understood(spark):
     counts = QUERIES["utterance_relevance"](spark, SF).collect()

@@ -169,4 +169,4 @@ def digits_to_words(value: Column | str) -> Column:
         return F.when(n == 0, F.lit("zero")).otherwise(join([head, *(period(rest, m) for m in (9, 6, 3, 0))]))
 
     words = F.concat(F.when(value < 0, F.lit("minus ")).otherwise(F.lit("")), spell(F.abs(value)))
-    return F.regexp_replace(F.regexp_replace(words, "^([^-]*)-", "$1 "), "^([^,]*),", "$1")
+    return F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(words, "^([^-]*)-", "$1 "), "^([^,]*),", "$1"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilery.functions.matchers import EXACT, PREFIX, REGISTRY, RELAXED, exact_prefix_column, registered_score_column, relaxed_score_column, score_column
+from tilery.functions.matchers import EXACT, PREFIX, REGISTRY, RELAXED, exact_prefix_column, levenshtein_column, registered_score_column, relaxed_score_column, score_column, score_factors
 from tilery.functions.numbers import NumberGrammar, number_matches
-from tilery.functions.terms import RANGE
+from tilery.functions.terms import RANGE, decode
 from tilery.plans.session import shuffle_partitions
 from tilery.schemas import NUMBER_BASE, UNKNOWN_ID
 
@@ -50,6 +50,35 @@ def match_edges(found: DataFrame, aliases: DataFrame) -> DataFrame:
     return scored.where((F.col("score") > 0) & (F.col("length") > 0))
 
 
+def trace_matches(found: DataFrame, aliases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, start, alias_id, query, prefix, match, match_factor, common_factor, position_factor, length_factor) of every
+    candidate of the exact, prefix and relaxed matchers: what was matched with what, decoded by (hash, text), and why it
+    scores as it does."""
+    known = aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix"))
+    rows = found.join(known, "alias_id").withColumn("flags", F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain"))))
+    tail, prefix, flags = F.col("tail"), F.col("prefix"), F.col("flags")
+    by_place = exact_prefix_column(tail, prefix, F.col("matcher") == PREFIX, flags=F.zip_with(flags, tail, lambda f, t: f | (t >= RANGE)))
+    columns = ["query_id", "start", "alias_id", "tail", "prefix"]
+    traced = rows.where(F.col("matcher").isin(EXACT, PREFIX)).select(*columns, by_place.alias("diff"))
+    relaxed = rows.where(F.col("matcher") == RELAXED).select(*columns, levenshtein_column("tail", "prefix", flags=flags).alias("diff"))
+    traced = traced.unionByName(relaxed).select(*columns, F.col("diff.match").alias("match"), score_factors(F.col("diff")).alias("factors"))
+    key = ["query_id", "start", "alias_id"]
+    out = traced.select(*key, "factors.*")
+    for name, source in (("query", "tail"), ("prefix", "prefix"), ("match", "match")):
+        out = out.join(decoded(traced.select(*key, F.col(source).alias(name)), key, name, texts), key, "left")
+    factors = ("match_factor", "common_factor", "position_factor", "length_factor")
+    return out.select(*key, *(F.coalesce(c, F.lit("")).alias(c) for c in ("query", "prefix", "match")), *factors)
+
+
+def decoded(rows: DataFrame, key: list[str], lists: str, texts: DataFrame) -> DataFrame:
+    """(key, lists): each list of hashes as one text, by (hash, text); unknown hashes are marked. Distinct rows of the key; empty
+    lists have no row."""
+    at = rows.select(*key, F.posexplode(lists).alias("__place", "hash"))
+    named = at.join(texts, "hash", "left").withColumn("text", decode(F.col("hash"), F.col("text")))
+    ordered = F.array_sort(F.collect_list(F.struct("__place", "text")))
+    return named.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias(lists))
+
+
 def unknown_edges(positions: DataFrame) -> DataFrame:
     """The edge of no meaning at every position: score 0, one term."""
     return positions.select(

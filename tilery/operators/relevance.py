@@ -46,3 +46,25 @@ def failing(evaluated: DataFrame, show_passed: bool = False) -> DataFrame:
 def rebase(evaluated: DataFrame) -> DataFrame:
     """(priority, suites, input, expected): the cases with what was observed as the new expectation."""
     return evaluated.select("priority", "suites", "input", F.col("observed").alias("expected"))
+
+
+def report(failures: DataFrame, suites: DataFrame, priorities: DataFrame, overall: DataFrame) -> DataFrame:
+    """(section, name, line) of a printed report: failing cases (name, input, expected, observed), and the tallies
+    (n_passed, n_run) by suite, by priority and overall. In the order of section and name it reads from top to bottom."""
+
+    def shares(tallied: DataFrame, section: str, name: Column) -> DataFrame:
+        line = F.concat(name, F.lit(": "), F.col("n_passed").cast("string"), F.lit("/"), F.col("n_run").cast("string"))
+        return tallied.select(F.lit(section).alias("section"), name.alias("name"), line.alias("line"))
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    case = F.concat(text("name"), F.lit(" FAILED\n   input: "), text("input"), F.lit("\nexpected: "), text("expected"), F.lit("\nobserved: "), text("observed"))
+    rows = failures.select(F.lit("1 cases").alias("section"), text("name").alias("name"), case.alias("line"))
+    for tallied, section, name in ((suites, "2 suites", text("suite")), (priorities, "3 priorities", text("priority")), (overall, "4 overall", F.lit("overall"))):
+        rows = rows.unionByName(shares(tallied, section, name))
+    return rows
+
+
+def print_report(rows: DataFrame, write=print) -> None:
+    """Writes a report line by line, one partition of rows at a time."""
+    for row in rows.orderBy("section", "name", "line").toLocalIterator():
+        write(row["line"])

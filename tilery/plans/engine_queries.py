@@ -457,6 +457,24 @@ def relevance_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.failing(_latest(spark, sf_dir).where("passed IS NOT NULL")).groupBy("case_id").agg(F.count("*").alias("failures"))
 
 
+@query(
+    _VALUES
+    + f""", suites AS (SELECT DISTINCT case_id, item_value AS suite FROM values_found WHERE field = 'suites'), {_LATEST},
+    judged AS (SELECT l.case_id, priority, input, expected, passed FROM latest l JOIN test_cases USING (case_id)),
+    tallies AS (SELECT '2 suites' AS section, suite AS name, passed FROM latest JOIN suites USING (case_id) UNION ALL SELECT '3 priorities', coalesce(CAST(priority AS VARCHAR), ''), passed FROM judged
+      UNION ALL SELECT '4 overall', 'overall', passed FROM latest)
+    SELECT section, name, name || ': ' || sum(CAST(passed AS INTEGER)) || '/' || count(*) AS line FROM tallies GROUP BY section, name
+    UNION ALL SELECT DISTINCT '1 cases', CAST(case_id AS VARCHAR), case_id || ' FAILED' || chr(10) || '   input: ' || coalesce(input, '') || chr(10) || 'expected: ' || coalesce(expected, '') || chr(10) || 'observed: ' FROM judged WHERE NOT passed"""
+)
+def relevance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section, name, line): the report of the last received results, failing cases first, then suites, priorities and all."""
+    suites = split_packed(table(spark, sf_dir, "test_cases"), "case_id", {"suites": SEPARATED}).select("case_id", _c("item_value").alias("suite"))
+    latest = _latest(spark, sf_dir)
+    failing = relevance_failing(spark, sf_dir).join(table(spark, sf_dir, "test_cases").select("case_id", "input", "expected"), "case_id")
+    failing = failing.select(_c("case_id").alias("name"), "input", "expected", F.lit(None).cast("string").alias("observed"))
+    return R.report(failing, R.by_suite(latest, suites, "case_id"), relevance_by_priority(spark, sf_dir), R.tally(latest))
+
+
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(input, observed): tokens of every distinct order input, which is solved once."""
     cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''")

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.functions.matchers import levenshtein_column, score_column
+from tilery.functions.speech import speech_text
 from tilery.operators import edges as E
 from tilery.operators import lexicon as L
 from tilery.operators import paths as P
 from tilery.operators.numbering import number_rows
+from tilery.functions.terms import TermModel, strip_plural
+from tilery.plans import pipeline, shop
 from tilery.plans.engine_queries import _BEST, _LAST, _PAIRS, _order_edges, _pairs, _path_text
 from tilery.plans.session import table
+from tilery.plans.text_queries import _MURMUR
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -159,3 +163,66 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, sizes = _order_edges(spark, sf_dir)
     graphs = E.edge_lists(edges, sizes).withColumn("m", P.lattice_matches_column("edge_lists", F.lit(0), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")))
     return graphs.select("query_id", F.explode("m").alias("m")).select("query_id", "m.end", "m.score")
+
+
+# --- the relational form ------------------------------------------------------------------------------------------------
+
+
+def _name_lexicon(spark: SparkSession, sf_dir: str) -> L.Lexicon:
+    """Catalogue names as exact aliases, stemmed by expressions."""
+    items = table(spark, sf_dir, "catalog_items").withColumn("aliases", F.array(F.concat(F.lit("exact:"), "name")))
+    return L.build_lexicon(items, ["bikes", "parts", "services"], TermModel(column_stemmer=strip_plural))
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "test_cases").where("trim(input) <> ''").select("input").distinct()
+
+
+_STEM_LIST = lambda x: rf"list_transform(string_split_regex(trim({x}), '\s+'), lambda t: CASE WHEN starts_with(t, '@') THEN t ELSE regexp_replace(lower(t), 's$', '') END)"
+_NAMED = rf"""said AS (SELECT DISTINCT input, {_STEM_LIST('input')} AS w FROM test_cases WHERE trim(input) <> ''),
+names AS (SELECT row_number() OVER (ORDER BY CASE domain WHEN 'bikes' THEN 1 WHEN 'parts' THEN 2 ELSE 3 END, ord, pid) - 1 AS alias_id, {_STEM_LIST('name')} AS p FROM catalog_items),
+places AS (SELECT input, w, unnest(range(0, len(w))) AS i FROM said),
+met AS (SELECT DISTINCT input, w, i, alias_id, p FROM places JOIN names ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMED}, ends AS (SELECT input, list(struct_pack(e := i + len(p), n := len(p))) AS m FROM met GROUP BY 1),
+    best(input, n, i, b, m) AS (SELECT input, len(w), 0, [CAST(0 AS DOUBLE)], coalesce(m, []) FROM said LEFT JOIN ends USING (input)
+      UNION ALL SELECT input, n, i + 1, list_append(b, greatest(b[i + 1], coalesce(list_max(list_transform(list_filter(m, lambda x: x.e = i + 1), lambda x: b[i + 2 - x.n] + x.n)), 0))), m FROM best WHERE i < n)
+    SELECT input, CAST(n AS INTEGER) AS terms, b[n + 1] AS covered FROM best WHERE i = n"""
+)
+def name_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(input, terms, covered): how many terms of each input the best tiling by catalogue names covers, in the relational form."""
+    lexicon = _name_lexicon(spark, sf_dir)
+    words, graphs = pipeline.graphs_relational(_said(spark, sf_dir), "input", "input", lexicon, numbers=lambda hashes: [])
+    first = P.path_rows(graphs, P.maximal_paths_column("edge_lists", 1))
+    return words.join(first, "query_id").select(F.col("query_id").alias("input"), F.size("terms").alias("terms"), F.col("score").alias("covered"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMED}, held AS (SELECT DISTINCT unnest(p) AS term FROM names), x AS (SELECT DISTINCT unnest(w) AS term FROM said), {_MURMUR},
+    coded AS (SELECT term, CASE WHEN held.term IS NOT NULL THEN term ELSE '###HASH' || CASE WHEN starts_with(term, '@') THEN murmur + 8589934592
+      WHEN regexp_full_match(term, '[0-9]+') THEN TRY_CAST(term AS BIGINT) + 4294967296 ELSE murmur END || '###' END AS text FROM hashes LEFT JOIN held USING (term)),
+    found AS (SELECT DISTINCT input, i AS start, alias_id, w, p, len(list_filter(range(1, len(p) + 1), lambda k: w[i + 1:i + k] = p[1:k])) AS run FROM places JOIN names ON list_contains(p, w[i + 1])),
+    kept AS (SELECT *, CASE WHEN run = len(p) THEN run ELSE 0 END AS k FROM found),
+    rests AS (SELECT input, i AS start, (SELECT string_agg(text, ' ' ORDER BY k) FROM (SELECT unnest(w[i + 1:]) AS term, unnest(range(len(w) - i)) AS k) JOIN coded USING (term)) AS query FROM places)
+    SELECT input, CAST(start AS INTEGER) AS start, alias_id, query, array_to_string(p, ' ') AS prefix, array_to_string(p[1:k], ' ') AS match, CASE WHEN k > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / len(p) END AS match_factor,
+      CASE WHEN k > 0 THEN CAST(1 AS DOUBLE) END AS common_factor, CASE WHEN k > 0 THEN CAST(1 AS DOUBLE) END AS position_factor, CAST(k AS INTEGER) AS length_factor FROM kept JOIN rests USING (input, start)"""
+)
+def match_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(input, start, alias_id, query, prefix, match, and the four factors of the score) of every candidate of catalogue names."""
+    lexicon = _name_lexicon(spark, sf_dir)
+    source = _said(spark, sf_dir).withColumnRenamed("input", "query_id").withColumn("text", F.col("query_id"))
+    found = E.candidates(E.tails(L.hashed(source, ["query_id"], "text", lexicon.model, lexicon.below())), lexicon.posting_rows().distinct())
+    texts = lexicon.postings().select("hash", F.col("stem").alias("text"))
+    return E.trace_matches(found, lexicon.aliases, texts).withColumnRenamed("query_id", "input")
+
+
+@query()
+def utterance_tokens_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, observed): the tokens of every order input by joins; the rows are those of utterance_tokens."""
+    cases = table(spark, sf_dir, "test_cases").where("kind = 'order' AND trim(input) <> ''").select("case_id", "input")
+    lexicon = shop.shop_lexicon(spark, sf_dir)
+    said = cases.select("input").distinct().withColumn("said", speech_text(F.col("input")))
+    observed = pipeline.token_strings(pipeline.tile_relational(said, "input", "said", lexicon), "input", pipeline.token_table(lexicon, shop.KINDS))
+    return cases.join(observed, "input").select("case_id", "observed")

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def logger(name: str, interactive: bool = False) -> Callable[[str], None]:
+    """Writes messages to the log `tilery.NAME`, which is off unless a handler takes it, or to the console of a person at work."""
+    if interactive:
+        return print
+    log = logging.getLogger(f"tilery.{name}")
+    log.addHandler(logging.NullHandler())
+    return log.debug
+
+
 def local_session(cores: int = 4, shuffle_partitions: int = 8, name: str = "tilery") -> SparkSession:
     """A local session for tests and benches; never used on a cluster."""
     spark = (
@@ -18,6 +30,7 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8, name: str = "tile
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TILERY_DRIVER_MEMORY", "6g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,13 +44,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
+    # executors of local-cluster[...] are other processes
+    if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilery-checkpoint-"))
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint: later readers survive the loss of any executor."""
+    """Cuts the lineage with a reliable checkpoint: later readers survive the loss of any executor. Spark removes the files
+    when nothing refers to the frame any more, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 

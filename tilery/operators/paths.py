@@ -260,4 +260,5 @@ def lattice_matches_column(edge_lists: Column | str, start: Column, prefix: Colu
         return pa.array(out, pa.list_(pa.struct([("end", pa.int32()), ("score", pa.float64())])))
 
     kind = T.ArrayType(T.StructType([T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    return F.arrow_udf(rows, kind)(edge_lists, start, prefix)
+    # else a filter on its size could be put where only expressions run
+    return F.arrow_udf(rows, kind).asNondeterministic()(edge_lists, start, prefix)

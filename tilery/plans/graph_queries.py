@@ -161,8 +161,8 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, end, score): the best match of the prefix 1 2 along the paths of every order's graph from its beginning, by the
     boundary that it reaches."""
     edges, sizes = _order_edges(spark, sf_dir)
-    graphs = E.edge_lists(edges, sizes).withColumn("m", P.lattice_matches_column("edge_lists", F.lit(0), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")))
-    return graphs.select("query_id", F.explode("m").alias("m")).select("query_id", "m.end", "m.score")
+    found = P.lattice_matches_column("edge_lists", F.lit(0), F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))
+    return E.edge_lists(edges, sizes).select("query_id", F.explode(found).alias("m")).select("query_id", "m.end", "m.score")
 
 
 # --- the relational form ------------------------------------------------------------------------------------------------

@@ -179,3 +179,12 @@ def test_reader():
 def test_digits_to_words(spark, value, words):
     got = spark.createDataFrame([(value,)], "v long").select(digits_to_words("v")).first()[0]
     assert got == (words if words or value is None else number_words(value).replace("-", " ", 1).replace(",", "", 1))
+
+
+def test_labels_as_typed(spark):
+    from tilery.functions.formatting import label_form
+
+    cases = {'ENTITY:"CRIMSON, CYCLOCROSS, BICYCLE",6': "ENTITY:CRIMSON_CYCLOCROSS_BICYCLE,6", "ENTITY:ALUMINIUM [BOTTLE],1018": "ENTITY:ALUMINIUM_BOTTLE,1018",
+             "ENTITY:RUBBER_BOTTLE,7": "ENTITY:RUBBER_BOTTLE,7", "QUANTIFIER:1": "QUANTIFIER:1", "END_OF_ORDER": "END_OF_ORDER", "WORD:A_B": "WORD:A_B"}
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["x"] for r in frame.select("t", label_form(F.col("t")).alias("x")).collect()} == cases

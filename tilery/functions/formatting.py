@@ -23,3 +23,11 @@ def token_text(kind: Column, pid: Column, name: Column, value: Column, text: Col
         .when(kind == "WORD", F.concat(F.lit("[WORD:"), text, F.lit("]")))
         .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
     )
+
+
+def label_form(token: Column) -> Column:
+    """A token text typed by hand, without brackets, as the formatter writes it: in the label of an entity or attribute every run
+    of other characters than letters and digits is one underscore."""
+    parts = lambda i: F.regexp_extract(token, r"^\s*(ENTITY|ATTRIBUTE)\s*:(.*?),\s*(-?\d+)\s*$", i)
+    label = F.regexp_replace(F.regexp_replace(F.upper(parts(2)), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "")
+    return F.when(parts(1) != "", F.concat(parts(1), F.lit(":"), label, F.lit(","), parts(3))).otherwise(F.regexp_replace(token, '"', ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilery.functions.formatting import token_text
+from tilery.functions.formatting import label_form, token_text
 from tilery.functions.matchers import exact_prefix_column, levenshtein_column, score_column, score_factors
 from tilery.functions.speech import speech_text
 from tilery.functions.terms import TermModel, decode, dictionary, hash_of_stem, is_number_hash, is_token_hash, number_hash, strip_plural, word_break
@@ -495,7 +495,7 @@ def utterance_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _expected(cases: DataFrame) -> DataFrame:
     """(case_id, wanted): token texts of the expected cells, read by the packed-field grammar."""
     tokens = split_packed(cases, "case_id", {"expected": BRACKETED})
-    bracketed = F.concat(F.lit("["), F.regexp_replace("item_value", '"', ""), F.lit("]"))
+    bracketed = F.concat(F.lit("["), label_form(_c("item_value")), F.lit("]"))
     wanted = tokens.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", bracketed.alias("t")))).alias("x"))
     return wanted.select("case_id", F.transform("x", lambda e: e["t"]).alias("wanted"))
 

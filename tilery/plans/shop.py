@@ -17,7 +17,7 @@ KINDS = {"entities": "ENTITY", "quantifiers": "QUANTIFIER", "intents": "INTENT"}
 _INTENTS = [
     (1, "ADD_TO_ORDER", ["exact:I'd like", "exact:please add", "exact:give me", "exact:we need", "exact:can I have", "exact:I want"]),
     (2, "CONJUNCTION", ["exact:(and,also,plus,with)"]),
-    (3, "END_OF_ORDER", ["exact:that's all", "exact:please"]),
+    (3, "END_OF_ORDER", ["exact:that's all", "exact:please", "exact:(thanks,thank you)"]),
 ]
 _QUANTIFIERS = [(1, "one", ["exact:(a,an,the)"]), (0, "none", ["exact:no"])]
 

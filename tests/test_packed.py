@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilery.operators.packed import BRACKETED, SEPARATED, split_cells, split_packed
+from tilery.operators.packed import BRACKETED, SEPARATED, flatten_lists, split_cells, split_packed
 
 WORD = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.")
 
@@ -70,7 +70,7 @@ def read_bracketed(s):
 
 
 def split(cells, grammar):
-    values, parent, pos = split_cells(pa.array(cells, pa.string()), grammar)
+    values, parent, pos = flatten_lists(split_cells(pa.array(cells, pa.string()), grammar))
     out = [[] for _ in cells]
     for value, p, at in zip(values.to_pylist(), parent, pos):
         assert at == len(out[p])

@@ -195,8 +195,8 @@ def _bracketed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     )
 
 
-def split_cells(texts: pa.Array, grammar: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Values of all cells, the ordinal of each value's cell, and its position from 0 within the cell."""
+def split_cells(texts: pa.Array, grammar: str) -> pa.Array:
+    """The list of values of each cell."""
     raw, offsets = _buffer(texts)
     begin, end, kind = (_separated if grammar == SEPARATED else _bracketed)(raw, offsets)
     filled = end > begin
@@ -214,9 +214,14 @@ def split_cells(texts: pa.Array, grammar: str) -> tuple[pa.Array, np.ndarray, np
         if (kind == which).any():
             single = pc.replace_substring(values, pattern=char * 2, replacement=char)
             values = pc.if_else(pa.array(kind == which), single, values)
-    parent = np.searchsorted(offsets, begin, side="right") - 1
-    first = np.searchsorted(parent, parent, side="left")
-    return values, parent, np.arange(len(parent)) - first
+    # values stand in the order of the text, so those of a cell are a run: its bounds are the offsets of the lists
+    return pa.LargeListArray.from_arrays(pa.array(np.searchsorted(begin, offsets[: len(texts) + 1]), pa.int64()), values)
+
+
+def flatten_lists(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All values, the ordinal of each one's list, and its position from 0 in the list."""
+    parent = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
+    return lists.flatten(), parent, np.arange(len(parent)) - (np.asarray(lists.offsets) - lists.offsets[0].as_py())[parent]
 
 
 def split_packed(frame: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -232,7 +237,7 @@ def split_packed(frame: DataFrame, key: str, fields: dict[str, str]) -> DataFram
         for batch in batches:
             keys = batch.column("key")
             for column, field, grammar in plan:
-                values, parent, pos = split_cells(batch.column(column), grammar)
+                values, parent, pos = flatten_lists(split_cells(batch.column(column), grammar))
                 if len(values):
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -33,7 +33,7 @@ def log_entropy(
     then needs no shuffle. The statistics of hot terms, of which there are few at any size, are broadcast;
     all other terms meet theirs in a shuffle without hot keys.
     """
-    n = records.select(key).distinct().count() if not within else records.count()
+    n = records.select(*within, key).distinct().count()
     parts = [f"__{i}" for i in range(len(within))]
     named = [F.col(c).alias(p) for c, p in zip(within, parts)]
     tf = (

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -291,15 +291,42 @@ def levenshtein_column(query: Column | str, prefix: Column | str, downstream: Co
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("length", T.IntegerType())])
+#: Pairs that are aligned together.
+TOGETHER = 100_000
 
 
-@F.arrow_udf(SCORED)
-def relaxed_score_column(query: pa.Array, prefix: pa.Array, flags: pa.Array) -> pa.Array:
-    """Struct (score, length) of the relaxed matcher, without what was matched."""
+def relaxed_scores(query: pa.Array, prefix: pa.Array, flags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, not a number where nothing matched, and lengths of the relaxed matcher over list arrays."""
     scores, lengths = np.full(len(query), np.nan), np.zeros(len(query), np.int32)
     for rows, q, p, down, found in _aligned(query, prefix, flags):
         scores[rows], lengths[rows] = score_alignments(q, p, found, down)
-    return pa.StructArray.from_arrays([pa.array(scores, from_pandas=True), pa.array(lengths)], ["score", "length"])
+    return scores, lengths
+
+
+def relaxed_matches(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, score, length) of the rows (keep, tail, prefix, flags) whose tail matches: batches are gathered up to TOGETHER
+    pairs, so that many of equal lengths are aligned at once."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def scored(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        lists = (table.column(c).combine_chunks() for c in ("tail", "prefix", "flags"))
+        scores, lengths = relaxed_scores(*lists)
+        met = np.flatnonzero((scores > 0) & (lengths > 0))
+        columns = [table.column(c).combine_chunks().take(pa.array(met)) for c in keep]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(scores[met]), pa.array(lengths[met])], names=[*keep, "score", "length"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= TOGETHER:
+                yield scored(waiting)
+                waiting = []
+        if waiting:
+            yield scored(waiting)
+
+    return rows.select(*keep, "tail", "prefix", "flags").mapInArrow(match, f"{kinds}, score double, length int")
 
 
 def registered_score_column(matcher: Column, query: Column, prefix: Column, flags: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilery.functions.matchers import EXACT, PREFIX, REGISTRY, RELAXED, exact_prefix_column, levenshtein_column, registered_score_column, relaxed_score_column, score_column, score_factors
+from tilery.functions.matchers import EXACT, PREFIX, REGISTRY, RELAXED, exact_prefix_column, levenshtein_column, registered_score_column, relaxed_matches, score_column, score_factors
 from tilery.functions.numbers import NumberGrammar, number_matches
 from tilery.functions.terms import RANGE, decode
 from tilery.plans.session import shuffle_partitions
@@ -23,39 +23,44 @@ def tails(utterances: DataFrame) -> DataFrame:
 
 
 def candidates(positions: DataFrame, postings: DataFrame) -> DataFrame:
-    """Each position with each occurrence (hash, alias_id) of its term in an alias.
+    """Each position with each occurrence (hash, alias_id, and what else is known of it) of its term in an alias.
 
     An equi-join on the hash: Spark broadcasts postings that are small enough by their size, and splits hot hashes
     of large ones at run time; no list of them is ever held in a row."""
-    return positions.join(postings.select("hash", "alias_id"), "hash")
+    return positions.join(postings, "hash")
 
 
-def match_edges(found: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Scored edges of candidates: matched by the alias's own matcher, without empty and rejected matches.
+def known_postings(postings: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(hash, alias_id, domain, matcher, prefix): occurrences of terms with what their alias matches, and how."""
+    return postings.join(aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix")), "alias_id")
 
-    Which terms are downstream comes as one flag a term."""
-    known = aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix"))
-    flags = F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain")))
-    rows = found.join(known, "alias_id").withColumn("flags", flags)
+
+def match_edges(positions: DataFrame, postings: DataFrame) -> DataFrame:
+    """Scored edges of positions and the known postings of their terms: matched by the alias's own matcher, without empty and
+    rejected matches.
+
+    Which terms are downstream comes as one flag a term. Each matcher meets the postings of its own aliases only."""
+    told = F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain")))
+    of = lambda *matchers: candidates(positions, postings.where(F.col("matcher").isin(*matchers))).withColumn("flags", told)
+    key = ["query_id", "start", "alias_id"]
     tail, prefix, flags = F.col("tail"), F.col("prefix"), F.col("flags")
     diff = exact_prefix_column(tail, prefix, F.col("matcher") == PREFIX, flags=F.zip_with(flags, tail, lambda f, t: f | (t >= RANGE)))
-    by_place = rows.where(F.col("matcher").isin(EXACT, PREFIX)).withColumn("diff", diff)
+    by_place = of(EXACT, PREFIX).withColumn("diff", diff)
     by_place = by_place.withColumn("s", score_column(F.col("diff"), prefix, query=tail, flags=flags)).drop("diff")
-    relaxed = rows.where(F.col("matcher") == RELAXED).withColumn("s", relaxed_score_column(tail, prefix, flags))
-    both = by_place.unionByName(relaxed)
+    both = by_place.select(*key, "s.score", "s.length")
+    both = both.unionByName(relaxed_matches(of(RELAXED), key))
     if others := [m for m in REGISTRY if m not in (EXACT, PREFIX, RELAXED)]:
-        own = rows.where(F.col("matcher").isin(*others))
-        both = both.unionByName(own.withColumn("s", registered_score_column(F.col("matcher"), tail, prefix, flags)))
-    scored = both.select("query_id", "start", (F.col("alias_id") + 1).alias("ord"), "s.score", "s.length", F.col("alias_id").alias("token_id"))
+        own = of(*others).withColumn("s", registered_score_column(F.col("matcher"), tail, prefix, flags))
+        both = both.unionByName(own.select(*key, "s.score", "s.length"))
+    scored = both.select("query_id", "start", (F.col("alias_id") + 1).alias("ord"), "score", "length", F.col("alias_id").alias("token_id"))
     return scored.where((F.col("score") > 0) & (F.col("length") > 0))
 
 
-def trace_matches(found: DataFrame, aliases: DataFrame, texts: DataFrame) -> DataFrame:
+def trace_matches(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, start, alias_id, query, prefix, match, match_factor, common_factor, position_factor, length_factor) of every
-    candidate of the exact, prefix and relaxed matchers: what was matched with what, decoded by (hash, text), and why it
-    scores as it does."""
-    known = aliases.select("alias_id", "domain", "matcher", F.col("hashes").alias("prefix"))
-    rows = found.join(known, "alias_id").withColumn("flags", F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain"))))
+    candidate (a position with a known posting) of the exact, prefix and relaxed matchers: what was matched with what, decoded by
+    (hash, text), and why it scores as it does."""
+    rows = found.withColumn("flags", F.transform("below_tail", lambda domains: F.array_contains(domains, F.col("domain"))))
     tail, prefix, flags = F.col("tail"), F.col("prefix"), F.col("flags")
     by_place = exact_prefix_column(tail, prefix, F.col("matcher") == PREFIX, flags=F.zip_with(flags, tail, lambda f, t: f | (t >= RANGE)))
     columns = ["query_id", "start", "alias_id", "tail", "prefix"]

@@ -213,9 +213,9 @@ def match_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(input, start, alias_id, query, prefix, match, and the four factors of the score) of every candidate of catalogue names."""
     lexicon = _name_lexicon(spark, sf_dir)
     source = _said(spark, sf_dir).withColumnRenamed("input", "query_id").withColumn("text", F.col("query_id"))
-    found = E.candidates(E.tails(L.hashed(source, ["query_id"], "text", lexicon.model, lexicon.below())), lexicon.posting_rows().distinct())
+    found = E.candidates(E.tails(L.hashed(source, ["query_id"], "text", lexicon.model, lexicon.below())), E.known_postings(lexicon.posting_rows().distinct(), lexicon.aliases))
     texts = lexicon.postings().select("hash", F.col("stem").alias("text"))
-    return E.trace_matches(found, lexicon.aliases, texts).withColumnRenamed("query_id", "input")
+    return E.trace_matches(found, texts).withColumnRenamed("query_id", "input")
 
 
 @query()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tilery.functions.formatting import token_text
 from tilery.functions.matchers import REGISTRY, RELAXED, align, groups, score, score_alignments
 from tilery.functions.terms import RANGE, TermModel, hash_stem, stem_term
-from tilery.operators.edges import candidates, edge_lists, match_edges, number_edges, tails, union_edges, unknown_edges
+from tilery.operators.edges import edge_lists, known_postings, match_edges, number_edges, tails, union_edges, unknown_edges
 from tilery.operators.lexicon import Lexicon, hashed
 from tilery.operators.paths import maximal_paths, maximal_paths_column, path_rows, some_path_reads, spans
 from tilery.schemas import NUMBER_BASE, UNKNOWN_ID
@@ -174,8 +174,7 @@ def graphs_relational(utterances: DataFrame, key: str, text: str, lexicon: Lexic
     source = utterances.select(F.col(key).alias("query_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     arrays = hashed(source, ["query_id"], "text", lexicon.model, lexicon.below())
     positions = tails(arrays)
-    found = candidates(positions, lexicon.posting_rows().distinct())
-    matches = match_edges(found, lexicon.aliases)
+    matches = match_edges(positions, known_postings(lexicon.posting_rows().distinct(), lexicon.aliases))
     edges = union_edges(unknown_edges(positions), matches, number_edges(arrays, "hashes", numbers or lexicon.numbers()))
     return arrays.select("query_id", "terms"), edge_lists(edges, arrays.select("query_id", F.size("terms").alias("n")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilery.functions.formatting import label_form, token_text
-from tilery.functions.matchers import exact_prefix_column, levenshtein_column, score_column, score_factors
+from tilery.functions.matchers import exact_prefix_column, score_column, score_factors
 from tilery.functions.speech import speech_text
 from tilery.functions.terms import TermModel, decode, dictionary, hash_of_stem, is_number_hash, is_token_hash, number_hash, strip_plural, word_break
 from tilery.operators import edges as E
